@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, simple8b
+from . import packing, quality, simhash, simple8b, transducer
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,15 @@ def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, as read back from the Simple-8b files they were written to."""
     manifest = simple8b.write_ids(table(spark, sf_dir, "documents"))
     return simple8b.read_ids(spark, manifest, with_ids=False)
+
+
+@query
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document by the compiled tokenizer."""
+    return transducer.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
