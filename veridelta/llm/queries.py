@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, simple8b, transducer
+from . import packing, quality, simhash, simple8b, transducer, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,24 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"])
+
+
+ORACLE["op3_url_filter"] = r"""
+with cut as (
+  select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end, '') as rest from pages),
+hosted as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from cut),
+parts as (
+  select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from hosted),
+rules(h, p, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fit as (
+  select page_id, max_by(h || p, length(h || p)) as rule, max_by(verdict, length(h || p)) as verdict
+  from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join fit using (page_id)
+"""
