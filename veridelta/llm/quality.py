@@ -25,39 +25,39 @@ from .common import materialize, tune
 LABELLED_BOUND = 2_000_000
 #: Ridge added to the second moments.
 RIDGE = 1e-4
+#: Characters and words of plain prose that every text's shares are smoothed with.
+SMOOTH_CHARS, SMOOTH_WORDS = 60, 12
 NAMES = [
-    "one", "upper", "letters", "symbols", "digits", "blanks", "newlines", "bars", "bangs", "stops", "beyond_ascii", "distinct_words",
-    "distinct_lines", "length", "mean_word", "spread_word", "longest_word", "marks", "brackets", "lines_per_word", "plain_ends",
-    "short", "capital_starts", "capital_words", "marked_ends",
+    "one", "upper", "symbols", "digits", "bars", "bangs", "stops", "distinct_words", "distinct_lines", "marks", "brackets", "plain_ends",
+    "capital_words", "marked_ends",
 ]
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shape of a text: shares of character classes, repetition, word lengths. Empty texts have the constant alone."""
+    """Shape of a text: shares of character classes, repetition, word ends. Texts without words have the constant alone.
+
+    Nothing in it depends on the language or grows with the length, so short and long texts are judged alike.
+    """
     out = np.zeros(len(NAMES), np.float32)
     out[0] = 1
-    raw = (text or "").encode("utf-8")
-    n = len(raw)
     words = (text or "").split()
     if not words:
-        out[21] = 1
         return out
-    h = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    upper, ascii_letters, high = int(h[65:91].sum()), int(h[65:91].sum() + h[97:123].sum()), int(h[128:].sum())
-    letters = ascii_letters + high
+    h = np.bincount(np.frombuffer(text.encode("utf-8"), np.uint8), minlength=256)
+    upper = int(h[65:91].sum())
+    letters = upper + int(h[97:123].sum() + h[128:].sum())
     symbols = int(h[33:48].sum() + h[58:65].sum() + h[91:97].sum() + h[123:127].sum())
-    lines = text.split("\n")
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    count = len(words)
+    lines, count = text.split("\n"), len(words)
     stops = int(h[46] + h[44])
     ends = [w[-1] for w in words]
     plain = sum(map(str.isalpha, ends))
     stopped = ends.count(".") + ends.count(",")
+    chars, some = int(h.sum()) + SMOOTH_CHARS, count + SMOOTH_WORDS  # shares of few characters or words lean towards those of plain prose
     out[1:] = (
-        upper / max(1, letters), letters / n, symbols / n, h[48:58].sum() / n, h[32] / n, h[10] / n, h[124] / n, h[33] / n, stops / n, high / n,
-        len(set(words)) / count, len(set(lines)) / len(lines), np.log(n) / 10, sizes.mean() / 10, sizes.std() / 10, min(sizes.max(), 100) / 100,
-        (h[35:39].sum() + h[42]) / n, (h[60] + h[61] + h[62] + h[123] + h[125]) / n, len(lines) / count, plain / count,
-        count < 8, sum(map(str.isupper, (w[0] for w in words))) / count, sum(map(str.isupper, words)) / count, (count - plain - stopped) / count,
+        (upper + 0.03 * SMOOTH_CHARS) / (letters + SMOOTH_CHARS), (symbols + 0.025 * SMOOTH_CHARS) / chars, h[48:58].sum() / chars, h[124] / chars, h[33] / chars,
+        (stops + 0.025 * SMOOTH_CHARS) / chars, (len(set(words)) + SMOOTH_WORDS) / some, (len(set(lines)) + 2) / (len(lines) + 2),
+        (h[35:39].sum() + h[42]) / chars, (h[60] + h[61] + h[62] + h[123] + h[125]) / chars, (plain + 0.85 * SMOOTH_WORDS) / some,
+        sum(map(str.isupper, words)) / some, (count - plain - stopped) / some,
     )
     return out
 
