@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, simple8b, transducer, urlfilter
+from . import ann, packing, quality, simhash, simple8b, transducer, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ fit as (
   from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join fit using (page_id)
 """
+
+
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
