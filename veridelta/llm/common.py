@@ -61,7 +61,7 @@ def open_shared(path: str, mode: str):
         store, inner = fs.FileSystem.from_uri(path)
     if mode == "w":
         store.create_dir(posixpath.dirname(inner), recursive=True)
-        return store.open_output_stream(inner)
+        return store.open_output_stream(inner, compression=None)
     return store.open_input_file(inner)
 
 

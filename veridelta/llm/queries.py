@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, quality, simhash, simple8b, transducer, urlfilter
+from . import ann, packing, quality, simhash, simple8b, transducer, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,21 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from par
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.payloads(warc.read_archives(spark, manifest, with_data=False))
+
+
+ORACLE["op10_warc"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+     d as (select page_id, strlen(body) as n, sha256(body) as digest from p),
+     f as (select *, min(page_id) over (partition by digest) as first from d)
+select page_id, n::bigint as payload_bytes, digest as payload_digest,
+       case when n >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+       case when n >= 100 and first < page_id then first end as refers_to
+from f
+"""
