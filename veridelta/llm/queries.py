@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, quality, simhash, simple8b, transducer, urlfilter, warc
+from . import ann, packing, quality, simhash, simple8b, tiff, transducer, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ select page_id, n::bigint as payload_bytes, digest as payload_digest,
        case when n >= 100 and first < page_id then first end as refers_to
 from f
 """
+
+
+@query
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a TIFF and read back."""
+    return tiff.text_media(table(spark, sf_dir, "documents"))
