@@ -1,22 +1,54 @@
-"""A corpus pipeline of the operators in veridelta.llm; each stage takes (spark, docs, sf_dir)."""
+"""A corpus pipeline of the operators in veridelta.llm; each stage takes (spark, docs, sf_dir) and works on all it is given."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import simhash
+from veridelta.llm import mixing, packing, quality, simhash
 from veridelta.llm.common import materialize, table
 
+#: Documents with a quality score below this are rejected.
+LEAST_SCORE = 0.5
+#: Every document at least once, and no source more than twice as often as another.
+MIXTURE = mixing.Targets(entropy=0.95, repetition=2.0)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject, with all their columns."""
+    rows = materialize(quality.with_features(docs), "quality-features")
+    model = quality.fit(rows, table(spark, sf_dir, "labels"), quality.in_training(F.col("__id")))
+    judged = docs.withColumn("__x", quality.feature_column(F.col("text")))
+    return judged.where(model.score(F.col("__x")) >= LEAST_SCORE).drop("__x")
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, the document with the smallest doc_id stays."""
+    """One document of each near-duplicate component: the one with the smallest doc_id.
+
+    Documents with a null doc_id can't be told apart and stay. Of rows that share a doc_id, one of those in the
+    component that bears it stays.
+    """
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    keep = found.where("doc_id = component").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("__keep")).drop("__keep")
+    kept = found.where(F.col("doc_id") == F.col("component")).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    once = kept.where("n = 1").select(F.col("doc_id").alias("__keep"))
+    again = kept.where("n > 1").select(F.col("doc_id").alias("__keep"))
+    stay = docs.join(once, F.col("doc_id") == F.col("__keep"), "left_semi")
+    repeated = docs.join(again, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks, in the order of the mixture's blocks."""
+    return mixing.mixed_rows(docs, MIXTURE)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", sequences)]
+#: The classifier's fit and the fingerprints are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -62,15 +62,20 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def with_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, x): the features of every row's whole text."""
-    tune(docs.sparkSession)
+def feature_column(text: Column) -> Column:
+    """The features of a text as an array."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), of(F.col(text)).alias("x"))
+    return of(text)
+
+
+def with_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, x): the features of every row's whole text."""
+    tune(docs.sparkSession)
+    return docs.select(F.col(doc_id).alias("doc_id"), feature_column(F.col(text)).alias("x"))
 
 
 def moments(rows: DataFrame, x: str = "x") -> tuple[int, np.ndarray, np.ndarray]:

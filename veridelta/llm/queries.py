@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, quality, simhash, simple8b, tiff, transducer, urlfilter, warc
+from . import ann, mixing, packing, quality, simhash, simple8b, tiff, transducer, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ from f
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a TIFF and read back."""
     return tiff.text_media(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule of every document in a mixture of 95 % of the sources' largest entropy, at most fourfold."""
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.Targets(entropy=0.95, repetition=4.0))
