@@ -42,6 +42,10 @@ def selector_rank(bits: int) -> int:
     return sum(b < bits for b in {b for _, b in LAYOUT})
 
 
+#: The rank of every id of up to 20 bits.
+WIDTHS = np.array([selector_rank(b) for b in range(21)], np.uint8)[np.concatenate([[0], *[np.full(1 << b, b + 1) for b in range(20)]])]
+
+
 def encode(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of a block of unsigned ids.
 
@@ -55,8 +59,11 @@ def encode(ids: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     padded = np.append(ids, np.zeros(64, np.uint64))  # what follows the last id fits anywhere
     widths = np.zeros(n + 64, np.uint8)
-    for bits in sorted({b for _, b in LAYOUT}):
-        widths += padded >> np.uint64(bits) != 0
+    if int(ids.max()) < len(WIDTHS):
+        widths[:n] = WIDTHS[ids]
+    else:
+        for bits in sorted({b for _, b in LAYOUT}):
+            widths += padded >> np.uint64(bits) != 0
     chosen = np.zeros(n, np.uint8)
     widest, span = widths, 1  # the widest id among the `span` from a position on
     for selector in range(len(LAYOUT) - 1, 0, -1):  # more ids in a word replace fewer

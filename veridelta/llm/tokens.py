@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-import struct
+import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 from .common import tokenizer
 
+#: Characters that Python and the library may put into lower case in different ways.
+FAR = re.compile("[^\x00-\u024f\u0400-\u045f]")
 #: Units whose ids a worker keeps in each of two generations.
 CACHE = 250_000
 
@@ -34,41 +37,60 @@ class TwoGenerations(dict):
 class WordIds:
     """Ids from a BPE tokenizer that drops white space, and so treats what stands between spaces independently.
 
-    A text is cut at white space; a unit is normalised and split as the tokenizer's own file says, and the
-    library's model gives the ids of each piece once. Units and pieces are kept. Texts that hold a special
-    string, or an ASCII separator that Python but not the library takes for white space, go to the library whole.
+    A text is cut at white space; a unit is normalised and split as the tokenizer's own file says, and each piece
+    is merged once, by the ranks of the file's merges. Units and pieces are kept. The end-of-word mark is written as
+    the byte 255, which no UTF-8 text has: the marked single bytes have the lowest ranks but for the bytes themselves,
+    so the mark joins the last byte before any other merge, as the library has it from the start. Texts that hold a
+    special string, or an ASCII separator that Python but not the library takes for white space, go to the library whole.
     """
 
     def __init__(self, path: str):
         import json
 
         import regex
+        import tiktoken
 
         self.library = tokenizer(path)
         with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split).findall
-        self.normalize, self.model = self.library.normalizer.normalize_str, self.library.model
-        self.symbols = {b: c for c, b in byte_of_symbol().items()}
-        specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([*specials, "[\x1c-\x1f]"]))
+            file = json.load(f)
+        pattern = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern).findall
+        self.split_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII).findall
+        self.normalize = self.library.normalizer.normalize_str
+        mark, special = file["model"]["end_of_word_suffix"], {t["content"] for t in file["added_tokens"]}
+        to_byte = byte_of_symbol()
+        ranks = {}
+        for token, i in file["model"]["vocab"].items():
+            if token not in special:
+                ends = token.endswith(mark)
+                ranks[bytes(to_byte[c] for c in (token[: -len(mark)] if ends else token)) + b"\xff" * ends] = i
+        made = [ranks[bytes(to_byte[c] for c in m.replace(mark, "").replace(" ", "")) + b"\xff" * m.endswith(mark)] for m in (" ".join(m) if isinstance(m, list) else m for m in file["model"]["merges"])]
+        if made != sorted(made) or max(i for k, i in ranks.items() if len(k) == 1 or (len(k) == 2 and k.endswith(b"\xff"))) > made[0]:
+            raise ValueError("a token's id must be the rank of its merge")
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.odd = [*sorted(special), "\x1c", "\x1d", "\x1e", "\x1f"]
         self.pieces = TwoGenerations(self.encode_piece)
         self.units = TwoGenerations(self.encode_unit)
 
     def encode_piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = "".join(map(self.symbols.__getitem__, piece.encode()))
-        return struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(piece)])}I", *ids)
+        return array("I", self.merge(piece.encode() + b"\xff")).tobytes()
 
     def encode_unit(self, unit: str) -> bytes:
-        plain = unit.lower() if unit.isascii() else self.normalize(unit)
-        return b"".join(map(self.pieces.__getitem__, self.split(plain)))
+        if unit.isascii():
+            unit = unit.lower()
+            if unit.isalpha():
+                return self.encode_piece(unit)
+            pieces = self.split_ascii(unit)
+        else:
+            unit = self.normalize(unit) if FAR.search(unit) else unicodedata.normalize("NFC", unit).lower()
+            pieces = self.split(unit)
+        return b"".join(map(self.pieces.__getitem__, pieces)) if len(pieces) != 1 else self.encode_piece(pieces[0])
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
         if not text:
             return b""
-        if self.odd.search(text):
+        if any(map(text.__contains__, self.odd)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.units.__getitem__, text.split()))
 
