@@ -40,7 +40,7 @@ class Ledger:
     """Tables under one folder. One writer at a time; readers need no lock."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.batch = spark, folder, time.time_ns() // 1000
+        self.spark, self.folder, self.batch = spark, folder, time.time_ns() // 1_000_000
 
     def read(self, name: str) -> DataFrame:
         """A table; empty where nothing was written. Columns that an older file lacks are null."""
@@ -51,7 +51,7 @@ class Ledger:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Adds rows; columns that they lack are null, others are dropped. seq grows from batch to batch and within one."""
-        self.batch = max(self.batch + 1, time.time_ns() // 1000)
+        self.batch = max(self.batch + 1, time.time_ns() // 1_000_000)
         fields = self.spark.createDataFrame([], TABLES[name]).schema.fields
         have = {c.lower() for c in rows.columns}
         cells = [(F.col(f.name) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]

@@ -53,16 +53,16 @@ def psi_by_key(pairs: DataFrame, keys: list[str], buckets: int = 10) -> DataFram
     sizes = rows.groupBy(*keys).agg(F.count(F.when(~F.col("is_current"), 1)).alias("n_baseline"), F.count(F.when(F.col("is_current"), 1)).alias("n_current"))
     k = F.greatest(F.lit(2), F.least(F.lit(buckets), F.floor(F.col("n_baseline") / 5), F.floor(F.col("n_current") / 5))).cast("int")
     base = rows.where(~F.col("is_current")).groupBy(*keys).agg(*[F.percentile("value", F.array(*[F.lit(i / n) for i in range(n + 1)])).alias(f"q{n}") for n in range(2, buckets + 1)])
-    pick = F.coalesce(*[F.when(F.col("k") == n, F.array_sort(F.array_distinct(f"q{n}"))) for n in range(2, buckets + 1)])
-    edges = sizes.where("n_baseline >= 2 and n_current >= 1").withColumn("k", k).join(base, keys).select(*keys, "n_baseline", "n_current", pick.alias("edges"))
-    inside = rows.join(edges, keys).where((F.size("edges") >= 3) & F.col("value").between(F.get("edges", F.lit(0)), F.get("edges", F.size("edges") - 1)))
-    bucket = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1, F.size("edges") - 2)
-    counts = inside.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.when(~F.col("is_current"), 1)).alias("a"), F.count(F.when(F.col("is_current"), 1)).alias("b"))
-    every = edges.where(F.size("edges") >= 3).select(*keys, "n_baseline", "n_current", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bucket")).join(counts, [*keys, "bucket"], "left")
+    pick = F.coalesce(*[F.when(F.col("__k") == n, F.array_sort(F.array_distinct(f"q{n}"))) for n in range(2, buckets + 1)])
+    edges = sizes.where("n_baseline >= 2 and n_current >= 1").withColumn("__k", k).join(base, keys).select(*keys, "n_baseline", "n_current", pick.alias("__edges"))
+    inside = rows.join(edges, keys).where((F.size("__edges") >= 3) & F.col("value").between(F.get("__edges", F.lit(0)), F.get("__edges", F.size("__edges") - 1)))
+    bucket = F.least(F.size(F.filter("__edges", lambda e: e <= F.col("value"))) - 1, F.size("__edges") - 2)
+    counts = inside.groupBy(*keys, bucket.alias("__bucket")).agg(F.count(F.when(~F.col("is_current"), 1)).alias("__a"), F.count(F.when(F.col("is_current"), 1)).alias("__b"))
+    every = edges.where(F.size("__edges") >= 3).select(*keys, "n_baseline", "n_current", F.explode(F.sequence(F.lit(0), F.size("__edges") - 2)).alias("__bucket")).join(counts, [*keys, "__bucket"], "left")
     whole = Window.partitionBy(*keys)
-    p = F.coalesce("a", F.lit(0)) / F.sum("a").over(whole) + EPS
-    q = F.coalesce("b", F.lit(0)) / F.greatest(F.coalesce(F.sum("b").over(whole), F.lit(0)), F.lit(1)) + EPS
-    return every.withColumn("p", p).withColumn("q", q).groupBy(*keys, "n_baseline", "n_current").agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
+    p = F.coalesce("__a", F.lit(0)) / F.sum("__a").over(whole) + EPS
+    q = F.coalesce("__b", F.lit(0)) / F.greatest(F.coalesce(F.sum("__b").over(whole), F.lit(0)), F.lit(1)) + EPS
+    return every.withColumn("__p", p).withColumn("__q", q).groupBy(*keys, "n_baseline", "n_current").agg(F.sum((F.col("__q") - F.col("__p")) * F.log(F.col("__q") / F.col("__p"))).alias("psi"))
 
 
 def assess_drift(snapshots: DataFrame, run_id: str) -> DataFrame:

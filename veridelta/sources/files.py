@@ -36,10 +36,10 @@ def read_if_there(spark: SparkSession, folder: str, name: str) -> DataFrame | No
         return None
 
 
-def read_artifact(spark: SparkSession, path: str) -> DataFrame | None:
-    """A JSON artefact of an earlier step, a document or an array of them; None where it is missing."""
+def read_artifact(spark: SparkSession, path: str, lines: bool = True) -> DataFrame | None:
+    """A JSON artefact of an earlier step, a document on each line, or else one document or array; None where it is missing."""
     try:
-        return spark.read.option("multiLine", True).json(path)
+        return spark.read.option("multiLine", not lines).json(path)
     except AnalysisException:
         return None
 
