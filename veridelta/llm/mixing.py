@@ -155,18 +155,17 @@ def mix(docs: DataFrame, targets: Targets = Targets(), doc_id: str = "doc_id", s
     return found.select(F.col("id").alias("doc_id"), name, "n_tokens", "weight", "epoch", "block", "position")
 
 
-def mixed_rows(docs: DataFrame, targets: Targets = Targets(), doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mixed_rows(docs: DataFrame, targets: Targets = Targets(), source: str = "source", text: str = "text") -> DataFrame:
     """The documents themselves, with all their columns, as often and in the order that the schedule says.
 
     The schedule is made from ids and counts; whole rows are shuffled once to meet it and once into its order. Equal
     rows are told apart by their number alone: a row that occurs m times is scheduled m times.
     """
     columns = docs.columns
-    tie = F.xxhash64(*[F.col(c) for c in columns])
-    keyed = docs.withColumn("__tie", tie)
-    counted = keyed.select(F.col(doc_id).alias("id"), F.col("__tie").alias("tie"), source_key(F.col(source)).alias("mix_key"), words(F.col(text)).alias("n_tokens"))
+    row = [F.col(c) for c in columns]
+    keyed = docs.withColumn("__a", F.xxhash64(*row)).withColumn("__b", F.xxhash64(F.lit(1), *row))  # 128 bits tell rows apart
+    counted = keyed.select(F.col("__a").alias("id"), F.col("__b").alias("tie"), source_key(F.col(source)).alias("mix_key"), words(F.col(text)).alias("n_tokens"))
     plan = schedule(materialize(counted, "mix-rows"), targets).select("id", "tie", "block", "position")
-    once = keyed.dropDuplicates([doc_id, "__tie"])
-    same = F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("__tie") == F.col("tie"))
-    placed = once.join(plan, same)
+    once = keyed.dropDuplicates(["__a", "__b"])  # dealt by the keys of the join, so that rows move once for both
+    placed = once.join(plan, (F.col("__a") == F.col("id")) & (F.col("__b") == F.col("tie")))
     return placed.repartitionByRange("block", "position").sortWithinPartitions("block", "position").select(*columns)
