@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from veridelta.plans import adjudication, monitoring, movements, reconciliation, registry  # noqa: F401
+from veridelta.plans import adjudication, bookkeeping, monitoring, movements, reconciliation, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
