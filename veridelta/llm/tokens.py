@@ -13,8 +13,8 @@ from .common import tokenizer
 
 #: Characters that Python and the library may put into lower case in different ways.
 FAR = re.compile("[^\x00-\u024f\u0400-\u045f]")
-#: Units whose ids a worker keeps in each of two generations.
-CACHE = 250_000
+#: Units whose ids a worker keeps in each of two generations; pieces of units are a quarter as many.
+CACHE = 400_000
 
 
 class TwoGenerations(dict):
@@ -69,7 +69,7 @@ class WordIds:
             raise ValueError("a token's id must be the rank of its merge")
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.odd = [*sorted(special), "\x1c", "\x1d", "\x1e", "\x1f"]
-        self.pieces = TwoGenerations(self.encode_piece)
+        self.pieces = TwoGenerations(self.encode_piece, CACHE // 4)
         self.units = TwoGenerations(self.encode_unit)
 
     def encode_piece(self, piece: str) -> bytes:
