@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridelta.functions.columns import half_even, month_of_week, ratio
+from veridelta.sources.tables import materialize
 
 #: Largest gap between agreeing sources, completeness of the tiers.
 AGREEMENT, HIGH, MEDIUM = 0.005, 0.98, 0.90
@@ -41,7 +42,8 @@ def weekly_panel(sales: DataFrame, marketing_weeks: DataFrame, reps: DataFrame,
     ``marketing_weeks`` has (region, week, attributed_revenue), ``reps`` (region, month, rep_attributed_revenue). A month's
     rep revenue is spread evenly over its weeks in the panel. Weeks without marketing or reps keep nulls.
     """
-    base = region_weeks(mature(sales, min_weeks)).withColumn("month", month_of_week(F.col("week"), first_monday))
+    cube = materialize(category_weeks(sales).withColumnRenamed("revenue", "gross_revenue"), "category-weeks")  # the facts are read once for it
+    base = region_weeks(mature(cube, min_weeks)).withColumn("month", month_of_week(F.col("week"), first_monday))
     spend = marketing_weeks.groupBy("region", "week").agg(F.sum("attributed_revenue").alias("marketing_attributed_revenue"))
     monthly = reps.groupBy("region", "month").agg(F.sum("rep_attributed_revenue").alias("__month"))
     weeks = base.groupBy("region", "month").agg(F.count("week").alias("__weeks"))

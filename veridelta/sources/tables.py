@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it; one of our own where it names none."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return found or _own_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_dir(application: str) -> str:
+    """A folder for an application whose session names none, as in tests on one machine."""
+    return tempfile.mkdtemp(prefix="spark-shared-")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
