@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.operators import signal
+from veridelta.sources.tables import materialize
 
 #: Largest cosine distance within a cluster, fewest texts of a cluster, terms named.
 DISTANCE, SMALLEST, TERMS = 0.65, 3, 6
@@ -75,7 +76,7 @@ def terms_of(texts: DataFrame, key: str, text: str, stop_words: list[str] | None
     stops = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(stops)) if stops else words
-    both = texts.select(key, kept.alias("w"))
+    both = texts.repartition(key).select(key, kept.alias("w"))  # texts move once, so that their many terms needn't to be counted
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     return both.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
@@ -85,14 +86,14 @@ def cluster_terms(texts: DataFrame, cluster: str, key: str, text: str, top: int
 
     Smooth idf, ln((1 + N) / (1 + df)) + 1, and vectors of length 1. Terms of equal weight stand in their own order.
     """
-    counts = terms_of(texts, key, text, stop_words)
+    counts = materialize(terms_of(texts, key, text, stop_words), "term-counts")
     n = texts.agg(F.count("*").alias("N"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).join(n, F.lit(True)).select("term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighed = counts.join(df, "term").withColumn("w", F.col("n") * F.col("idf"))
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    normed = weighed.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(key)))).alias("w"))
     where = texts.select(key, cluster)
     sizes = where.groupBy(cluster).agg(F.count("*").alias("texts"))
-    mean = weighed.join(norms, key).join(where, key).groupBy(cluster, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("s"))
+    mean = normed.join(where, key).groupBy(cluster, "term").agg(F.sum("w").alias("s"))
     scored = mean.join(sizes, cluster).select(cluster, "term", F.round(F.col("s") / F.col("texts"), 9).alias("weight"))
     best = Window.partitionBy(cluster).orderBy(F.desc("weight"), "term")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

@@ -55,7 +55,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         checked = predicate.validate(raw_predicate(name, dim, treated))
         one = predicate.unit_panel(spark, predicate.compile_predicate(checked, region, "analyst", WINDOWS, ROLES))
         out = one if out is None else out.unionByName(one)
-    return materialize(out, "panel")
+    return materialize(out.coalesce(8), "panel")
 
 
 def _in(values: list[str]) -> str:
