@@ -20,8 +20,8 @@ from .common import materialize, public_vocabulary, running_total, tune
 
 #: Groups of equal cardinality that the large lengths are rounded up in.
 GROUPS = 64
-#: Lengths of at most this share of the capacity are small.
-SMALL = 0.35
+#: Lengths of at most this share of the capacity are small; each is planned with, and the plan of fewest sequences is taken.
+SMALL = (0.35, 0.5)
 #: Configurations are optimised until no other fills a sequence to more than 1 + GAP times its price.
 GAP = 1e-3
 
@@ -92,7 +92,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(basis[:, k].round().astype(int), float(t)) for k, t in enumerate(times) if t > 1e-9]
 
 
-def make_plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL) -> Plan:
+def make_plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL[0]) -> Plan:
     """A place for every item of a histogram of lengths from 1 to ``capacity``."""
     plan = Plan()
     taken: dict[int, int] = {}
@@ -188,13 +188,13 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def place(pieces: DataFrame, capacity: int = 1024, groups: int = GROUPS, small: float = SMALL) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 1024, groups: int = GROUPS, small: tuple[float, ...] = SMALL) -> DataFrame:
     """Adds sequence_id and offset to a table with columns doc_id, piece and length; read twice, so materialize what is dear.
 
     Equal rows get places of their own. An empty table gives none. Lengths must be from 1 to ``capacity``.
     """
     counted = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan = make_plan(counted, capacity, groups, small)
+    plan = min((make_plan(counted, capacity, groups, s) for s in small), key=lambda p: p.sequences)
     length, rank = np.array(plan.length, np.int64), np.array(plan.rank, np.int64)
     order = np.lexsort((rank, length))
     length, rank, seq, offset = length[order], rank[order], np.array(plan.seq, np.int64)[order], np.array(plan.offset, np.int64)[order]
