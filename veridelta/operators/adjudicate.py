@@ -50,7 +50,7 @@ def did(panel: DataFrame) -> DataFrame:
     scale = F.when(c("clustered"), g / (g - 1) * (n - 1) / F.when(n > k, n - k)).otherwise(hc1)
     m = {i: F.when(c("clustered"), c(f"c{i}")).otherwise(c(f"h{i}")) for i in ("11", "12", "22")}
     v = scale * (c("a12") ** 2 * m["11"] - 2 * c("a11") * c("a12") * m["12"] + c("a11") ** 2 * m["22"]) / c("det") ** 2
-    out = all_.withColumn("se", F.when(c("units") >= 2, F.sqrt(F.greatest(v, F.lit(0.0)))))
+    out = all_.withColumn("se", F.when((c("units") >= 2) & v.isNotNull(), F.sqrt(F.greatest(v, F.lit(0.0)))))
     out = out.withColumn("effect", F.when(c("se").isNotNull(), c("k2"))).withColumn("z", F.when(c("se") > 0, c("effect") / c("se")))
     return out.withColumn("p", normal_two_sided(c("z"))).select(*H, "n_treatment_units", "n_control_units", "effect", "se", "z", "p", "clustered")
 

@@ -74,12 +74,14 @@ r0 as (select *, ln(greatest(value, 1)) as y, post::double as a, (treat * post):
 r as (select hypothesis_id, unit, treat, y - avg(y) over u as y, a - avg(a) over u as x1, b - avg(b) over u as x2 from r0 window u as (partition by hypothesis_id, unit, treat)),
 s as (select hypothesis_id, sum(x1*x1) as a11, sum(x1*x2) as a12, sum(x2*x2) as a22, sum(x1*y) as b1, sum(x2*y) as b2, count(*) as n,
   count(distinct unit) filter (treat = 1) as nt, count(distinct unit) filter (treat = 0) as nc from r group by 1),
-k as (select *, a11*a22 - a12*a12 as det, (a22*b1 - a12*b2)/(a11*a22 - a12*a12) as k1, (a11*b2 - a12*b1)/(a11*a22 - a12*a12) as k2 from s),
+k0 as (select *, case when a11*a22 - a12*a12 > 1e-9 then a11*a22 - a12*a12 end as det from s),
+k as (select *, (a22*b1 - a12*b2) / det as k1, (a11*b2 - a12*b1) / det as k2 from k0),
 e as (select r.*, k1, k2, y - k1*x1 - k2*x2 as e from r join k using (hypothesis_id)),
 m as (select hypothesis_id, sum(x1*x1*e*e) as h11, sum(x1*x2*e*e) as h12, sum(x2*x2*e*e) as h22 from e group by 1),
-d as (select hypothesis_id, nt, nc, k2 as effect, sqrt(n / (n - (nt + nc + 2.0)) * (a12*a12*h11 - 2*a11*a12*h12 + a11*a11*h22)) / det as se from k join m using (hypothesis_id)),
-dz as (select *, effect / se as z from d),
-dp as (select *, case when abs(z) > 12 then 0 else greatest(0, 1 - 2 * exp(-z*z/2) / sqrt(2*pi()) *
+d0 as (select hypothesis_id, nt, nc, k2, case when n > nt + nc + 2 and nt + nc >= 2 then sqrt(greatest(0, n / (n - (nt + nc + 2.0)) * (a12*a12*h11 - 2*a11*a12*h12 + a11*a11*h22))) / det end as se from k join m using (hypothesis_id)),
+d as (select hypothesis_id, nt, nc, case when se is not null then k2 end as effect, se from d0),
+dz as (select *, case when se > 0 then effect / se end as z from d),
+dp as (select *, case when z is null then null when abs(z) > 12 then 0 else greatest(0, 1 - 2 * exp(-z*z/2) / sqrt(2*pi()) *
   list_sum(list_transform(range(0, 200), lambda i: exp((2*i+1) * ln(greatest(abs(z), 1e-300)) - (lgamma(i + 1.5) + (i + 1) * ln(2.0) - 0.5 * ln(pi())))))) end as p from dz)
 """
 
@@ -152,8 +154,8 @@ def pretrend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("bh_fdr", f"""
-with {DID_SQL}, ranked as (select hypothesis_id, p, count(*) over () as m, row_number() over (order by p, hypothesis_id) as r from dp)
-select hypothesis_id, round(least(1, min(p * m / r) over (order by r desc)), 6) as p_bh from ranked
+with {DID_SQL}, ranked as (select hypothesis_id, p, count(p) over () as m, row_number() over (partition by p is null order by p, hypothesis_id) as r from dp)
+select hypothesis_id, case when p is not null then round(least(1, min(p * m / r) over (partition by p is null order by r desc)), 6) end as p_bh from ranked
 """)
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = adjudicate.did(panel(spark, sf_dir)).withColumn("family", F.lit(1))
