@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import mixing, packing, quality, simhash
+from veridelta.llm import mixing, packing, quality, shingles
 from veridelta.llm.common import materialize, table
 
 #: Documents with a quality score below this are rejected.
@@ -25,11 +25,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest doc_id.
 
+    Documents are near duplicates if their five-word shingles have a Jaccard similarity of 0.8 or more, or by a chain of such pairs.
     Documents with a null doc_id can't be told apart and stay. Of rows that share a doc_id, one of those in the
     component that bears it stays.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id") == F.col("component")).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    found = shingles.near_copies(docs.select("doc_id", "text"))
+    kept = found.where(F.col("doc_id") == F.col("component")).groupBy("doc_id", "root").agg(F.count("*").alias("n"))
     once = kept.where("n = 1").select(F.col("doc_id").alias("__keep"))
     again = kept.where("n > 1").select(F.col("doc_id").alias("__keep"))
     stay = docs.join(once, F.col("doc_id") == F.col("__keep"), "left_semi")

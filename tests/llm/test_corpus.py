@@ -368,3 +368,62 @@ def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs):
         assert corpus_pipeline.sequences(spark, mixed, SF).count() >= mixed.count()
     ids = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, odd_docs, SF).collect()]
     assert ids.count(1) == 1 and 2 not in ids and ids.count(3) == 1 and 4 not in ids and None in ids
+
+
+def plain_near_copies(rows, least=0.8):
+    """(kept ids, pairs of ids of a similarity of 0.8 to 0.9) by all pairs of five-word shingle sets."""
+    sets = []
+    for _, t in rows:
+        words = (t or "").translate({i: i + 32 for i in range(65, 91)}).encode().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if not sets[i] | sets[j] or n >= least * (len(sets[i]) + len(sets[j]) - n):
+                parent[root(i)] = root(j)
+    return {min(d for k, (d, _) in enumerate(rows) if root(k) == r) for r in map(root, range(len(rows)))}
+
+
+def planted_pairs(n, changed, words=200):
+    """Texts of ``words`` words and copies with single words changed: each takes five shingles away."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(n):
+        text = [f"w{x}" for x in rng.integers(0, 5000, words)]
+        copy = list(text)
+        for c in range(changed):
+            copy[7 + c * (words // changed)] = f"new{i}x{c}"
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(copy))]
+    return rows
+
+
+def test_pipeline_joins_from_a_similarity_of_080(spark):
+    for changed, joined in ((3, True), (4, True), (5, False), (8, False)):  # Jaccard 0.858, 0.815, 0.775 and 0.661
+        rows = planted_pairs(60, changed)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+        assert kept == plain_near_copies(rows) == {d for d, _ in rows if d < 1000 or not joined}
+
+
+def test_large_groups_of_near_copies_are_cut(spark, monkeypatch):
+    from veridelta.llm import shingles
+
+    monkeypatch.setattr(shingles, "CHUNK", 8)
+    monkeypatch.setattr(shingles, "SETS", 8)
+    base = [f"w{x}" for x in np.random.default_rng(5).integers(0, 900, 120)]
+    rows = [(k, " ".join(base[:50] + [f"n{k // 2}"] * (k % 3) + base[50:])) for k in range(40)] + [(100 + k, " ".join(base[: 60 + 6 * k])) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == plain_near_copies(rows)
+
+
+@here
+def test_pipeline_near_copies_on_tables(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table(spark, SF, "documents"), SF).collect()} == plain_near_copies(rows)
