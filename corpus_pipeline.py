@@ -26,15 +26,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest doc_id.
 
     Documents are near duplicates if their five-word shingles have a Jaccard similarity of 0.8 or more, or by a chain of such pairs.
-    Documents with a null doc_id can't be told apart and stay. Of rows that share a doc_id, one of those in the
-    component that bears it stays.
+    Documents with a null doc_id can't be told apart and stay. Different texts under one doc_id are documents of
+    their own: each component keeps one row, of its smallest doc_id and of that the text with the smallest key.
     """
     found = shingles.near_copies(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id") == F.col("component")).groupBy("doc_id", "root").agg(F.count("*").alias("n"))
-    once = kept.where("n = 1").select(F.col("doc_id").alias("__keep"))
-    again = kept.where("n > 1").select(F.col("doc_id").alias("__keep"))
-    stay = docs.join(once, F.col("doc_id") == F.col("__keep"), "left_semi")
-    repeated = docs.join(again, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    each = found.where(F.col("doc_id") == F.col("component")).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    kept = each.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"), "k.n")
+    keyed = docs.withColumn("__key", shingles.text_key(F.col("text")))
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__th"))
+    stay = keyed.join(kept.where("n = 1"), same, "left_semi").drop("__key")
+    repeated = keyed.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
     return stay.unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 

@@ -427,3 +427,11 @@ def test_large_groups_of_near_copies_are_cut(spark, monkeypatch):
 def test_pipeline_near_copies_on_tables(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table(spark, SF, "documents"), SF).collect()} == plain_near_copies(rows)
+
+
+def test_different_texts_under_one_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(100)) for k in "abc")
+    rows = [(5, a, 1), (5, a, 2), (5, b, 3), (3, b + " end", 4), (7, c, 5), (7, a[:200], 6), (7, a[:200], 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert kept == sorted([(5, a), (3, b + " end"), (7, c), (7, a[:200])])
