@@ -90,6 +90,23 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert len(got) == 20
 
 
+def test_long_streams_equal_batch(spark, tmp_path):
+    """A stable series of 2,500 points, then a change: neither old runs nor the place in the series are lost."""
+    values = np.r_[np.full(2500, 10.0), np.full(100, 30.0)] + np.arange(2600) % 3
+    prior = signal.prior_of(values)
+    for k, part in enumerate((slice(0, 1500), slice(1500, 2600))):
+        pd.DataFrame({"key": "a", "period": range(2600), "value": values}).iloc[part].to_parquet(tmp_path / f"{k}.parquet")
+    source = spark.readStream.schema("key string, period long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    q = signals.streaming_changepoints(source, prior).writeStream.format("memory").queryName("long_changes").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["period"] + 1: r for r in spark.table("long_changes").collect()}
+    for n in (1999, 2000, 2001, 2300, 2500, 2501, 2510, 2600):
+        tau, confidence = signal.changepoint(signal.run_lengths(values[:n], prior)[0])
+        assert (got[n]["tau"], got[n]["confidence"]) == (tau, pytest.approx(confidence))
+    assert len(got) == 2600 and abs(got[2600]["tau"] - 2501) <= 2
+
+
 def test_streaming_counts(spark, tmp_path):
     rows = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 01:00", "2024-01-01 02:00", "2024-01-02 01:00", "2024-01-09 01:00"]).astype("datetime64[us]"), "kind": ["a", "a", "a", "b"]})
     rows.to_parquet(tmp_path / "e.parquet")
