@@ -350,8 +350,8 @@ def test_pipeline_against_plain_version(spark):
     scores = {r["doc_id"]: r["score"] for r in quality.scored(docs, table(spark, SF, "labels")).collect()}
     assert {r["doc_id"] for r in kept.collect()} == {d for d, s in scores.items() if s >= corpus_pipeline.LEAST_SCORE}
     alone = corpus_pipeline.near_dedup(spark, kept, SF).cache()
-    plain = plain_components([(r["doc_id"], r["text"]) for r in kept.collect()])
-    assert sorted(r["doc_id"] for r in alone.collect()) == sorted({d for d, _, c in plain if d == c})
+    plain = plain_near_copies([(r["doc_id"], r["text"]) for r in kept.collect()])
+    assert sorted(r["doc_id"] for r in alone.collect()) == sorted(plain)
     mixed = corpus_pipeline.source_mix(spark, alone, SF).cache()
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in alone.collect()}
     expected = [(r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.token_pieces(mixed).collect()]
@@ -412,11 +412,50 @@ def test_pipeline_joins_from_a_similarity_of_080(spark):
         assert kept == plain_near_copies(rows) == {d for d, _ in rows if d < 1000 or not joined}
 
 
-def test_large_groups_of_near_copies_are_cut(spark, monkeypatch):
+def test_wide_fingerprints_and_pair_lanes():
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 2**64, (130, 4), dtype=np.uint64)
+    for i in range(1, 130, 2):  # neighbours that differ in 1 to 129 bits
+        bits = np.zeros(256, np.uint8)
+        bits[rng.permutation(256)[:i]] = 1
+        fps[i] = fps[i - 1] ^ np.packbits(bits).view(np.uint64)
+    apart = np.array([[sum((int(x) ^ int(y)).bit_count() for x, y in zip(a, b, strict=True)) for b in fps] for a in fps])
+    for radius in (0, 1, 38, 63, 64):
+        q, lane = simhash.near(fps, simhash.bit_planes(fps), radius)
+        got = {(a, b) for a, b in zip(q.tolist(), lane.tolist(), strict=True) if b < len(fps)}
+        assert got == set(zip(*map(list, np.nonzero(apart <= radius)), strict=True))
+        a, b = (x.ravel() for x in np.indices(apart.shape))
+        assert (simhash.near_pairs(fps, a, b, radius) == (apart <= radius).ravel()).all()
+
+
+def test_links_of_sets_are_those_of_all_pairs():
     from veridelta.llm import shingles
 
-    monkeypatch.setattr(shingles, "CHUNK", 8)
-    monkeypatch.setattr(shingles, "SETS", 8)
+    rng = np.random.default_rng(7)
+    sets = [np.arange(40, dtype=np.int64)]
+    for _ in range(60):
+        s = sets[rng.integers(0, len(sets))].copy()
+        s[rng.integers(0, 40, 5)] = rng.integers(100, 10**6, 5)
+        sets.append(np.unique(s))
+    alike = [(i, j) for i in range(61) for j in range(i) if len(both := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(both))]
+    a, b = shingles.similar(sets, 0.8)
+    labels = [simhash.star_labels(61, *map(np.array, zip(*pairs, strict=True))).tolist() for pairs in (alike, list(zip(a, b, strict=True)))]
+    assert labels[0] == labels[1] and len(set(labels[0])) > 1
+    asking, label = np.arange(61) % 3 == 0, np.arange(61)
+    a, b = shingles.similar(sets, 0.8, asking, label)
+    assert set(zip(a, b, strict=True)) == {(i, j) for pair in alike for i, j in (pair, pair[::-1]) if i % 3 == 0}
+
+
+def test_large_and_null_ids_of_fingerprints(spark):
+    big = 2**62 + 5
+    rows = [(big, "a b c d e"), (None, "a b c d e"), (big + 1, "a b c d e"), (None, "x y z"), (2**63 - 1, "q")]
+    got = {(r["doc_id"], r["component"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(big, big), (None, big), (big + 1, big), (None, None), (2**63 - 1, 2**63 - 1)}
+
+
+def test_large_groups_of_near_copies_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    monkeypatch.setattr(simhash, "SETS", 8)
     base = [f"w{x}" for x in np.random.default_rng(5).integers(0, 900, 120)]
     rows = [(k, " ".join(base[:50] + [f"n{k // 2}"] * (k % 3) + base[50:])) for k in range(40)] + [(100 + k, " ".join(base[: 60 + 6 * k])) for k in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

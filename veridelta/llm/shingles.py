@@ -1,49 +1,38 @@
-"""Near copies by the exact Jaccard similarity of word shingles, with candidates from minhash bands.
-
-The bands find a pair of similarity s with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8. A bucket's pairs are
-sifted by whole signatures; what is left gives rough groups, and only there are sets of shingles compared, so sets are
-shuffled once and no step writes a row for each pair.
-"""
+"""Word shingles: their hashes, minhash bands that propose pairs, and the exact Jaccard similarity of whole sets."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .common import materialize, tune
-from .components import components
-
-WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 5
-#: Equal places of two signatures from which on a pair is compared; at a similarity of 0.8 fewer are found about twice in a million.
-ALIKE = 60
-#: Signatures of a bucket that are compared at once, and sets of a rough group; more are cut into pairs of chunks.
-CHUNK, SETS = 1024, 256
-#: Shingles of a rough group in one chunk.
-SHINGLES = 1 << 20
+
+#: Keys of a set: BANDS of ROWS least values each. A pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8.
+BANDS, ROWS = 15, 4
 _A, _B = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
 _A = _A | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; words as in ``simhash.fingerprint``, a shorter text is one shingle."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of ``width`` words in order, repeats included; a text of fewer words is one shingle, without words none.
+
+    Words stand between ASCII white space, A-Z are lowered, and a shingle's words are joined by one blank.
+    """
     import xxhash
 
-    words = (text or "").encode("utf-8").lower().split()
+    words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone are lowered, and white space is the six ASCII characters
     if not words:
         return np.empty(0, np.uint64)
+    joined = b" ".join(words)
     one = xxhash.xxh64_intdigest
-    return np.unique(np.array([one(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))], np.uint64))
+    if len(words) <= width:
+        return np.array([one(joined, 42)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = [0, *(gaps[: len(words) - width] + 1).tolist()]
+    ends = [*gaps[width - 1 :].tolist(), len(joined)]
+    return np.array([one(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
 
 
 def digest(shingles: np.ndarray) -> int:
-    """One long for a set; 0 is that of texts without words alone."""
+    """One long for a set of hashes; 0 is that of texts without words alone."""
     import xxhash
 
     if not len(shingles):
@@ -51,179 +40,69 @@ def digest(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7) or 1).view(np.int64)))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of BANDS * ROWS permutations."""
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One long for each band of a set's minhash signature."""
     low = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(0, len(shingles), 1024):
         low = np.minimum(low, (_A[:, None] * shingles[None, i : i + 1024] + _B[:, None]).min(axis=1))
-    return low
-
-
-def text_key(text: Column) -> Column:
-    """Tells texts apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
-def prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, th, fp, bands, sig) for every document: key of the text, digest of its set, keys of its bands, a byte of each least value."""
-    tune(docs.sparkSession)
-
-    @F.pandas_udf(T.StructType().add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("sig", T.BinaryType()))
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            s = shingle_set(t)
-            low = signature(s).reshape(BANDS, ROWS)
-            key = np.zeros(BANDS, np.uint64)
-            for r in range(ROWS):
-                key = (key ^ low[:, r]) * _MIX
-                key ^= key >> np.uint64(29)
-            rows.append((digest(s), key.view(np.int64) if len(s) else np.empty(0, np.int64), (low.ravel() * _MIX >> np.uint64(56)).astype(np.uint8).tobytes()))
-        return pd.DataFrame(rows, columns=["fp", "bands", "sig"])
-
-    return docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("th"), of(F.col(text)).alias("p")).select("doc_id", "th", "p.*")
-
-
-def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places is joined to."""
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        np.minimum.at(low, b, label[a])
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
-def alike(starts: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in the same group with at least ALIKE equal bytes; ``starts`` are the groups' first places, and the end."""
-    end = np.repeat(starts[1:], np.diff(starts))
-    place, found = np.arange(len(sigs)), []
-    for d in range(1, int(np.diff(starts).max(initial=0))):
-        place = place[place + d < end[place]]
-        same = (sigs[place] == sigs[place + d]).sum(axis=1) >= ALIKE
-        found.append((place[same], place[same] + d))
-    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, int) for k in (0, 1))
-
-
-def similar(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
-    """Links that join the sets as all pairs of a similarity of ``least`` would; pairs that are joined already aren't compared."""
-    parent = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    size = [len(s) for s in sets]
-    a, b = [], []
-    for i in range(len(sets)):
-        for j in range(i):
-            if min(size[i], size[j]) < least * max(size[i], size[j]) or root(i) == root(j):
-                continue
-            both = np.concatenate([sets[i], sets[j]])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if common >= least * (len(both) - common):
-                parent[root(i)] = root(j)
-                a.append(i)
-                b.append(j)
-    return a, b
+    key = np.arange(BANDS, dtype=np.uint64)  # a band's number is in its key
+    for r in range(ROWS):
+        key = (key ^ low[r::ROWS]) * _MIX
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
-def _cut(rows: DataFrame, keys: list[str], parts: Column, sizes: DataFrame) -> DataFrame:
-    """Rows of each group of two or more, dealt to pairs of chunks (c1, c2); ``parts`` is the number of chunks, from columns of ``sizes``."""
-    named = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], parts.cast("int").alias("k"))
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k) == F.col(f"__{k}")
-    shared = rows.join(named, same).drop(*[f"__{k}" for k in keys])
-    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda j: j != own)
-    pairs = F.when(F.col("k") == 1, F.array(F.struct(F.lit(0).alias("c1"), F.lit(0).alias("c2")))).otherwise(F.transform(others, lambda j: F.struct(F.least(j, own).alias("c1"), F.greatest(j, own).alias("c2"))))
-    work = shared.withColumn("c", F.explode(pairs)).select(*rows.columns, "c.c1", "c.c2")
-    by = [*keys, "c1", "c2"]
-    return work.repartition(*by).sortWithinPartitions(*by)
-
-
-def _grouped(frames: Iterator[pd.DataFrame], by: list[str], batch: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Frames of whole groups, of ``batch`` rows or more if there are so many, with the groups' first rows and the end."""
-    held: list[pd.DataFrame] = []
-
-    def parts(frame: pd.DataFrame) -> np.ndarray:
-        ids = frame[by].to_numpy()
-        return np.r_[np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)]), len(frame)]
-
-    for frame in frames:
-        if not len(frame):
-            continue
-        held.append(frame)
-        if sum(map(len, held)) >= batch:
-            whole = pd.concat(held, ignore_index=True)
-            starts = parts(whole)
-            held = [whole.iloc[starts[-2] :]]
-            if len(starts) > 2:
-                yield whole.iloc[: starts[-2]], starts[:-1]
-    if held:
-        whole = pd.concat(held, ignore_index=True)
-        yield whole, parts(whole)
-
-
-def rough_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) of digests whose bands meet and whose signatures are alike, as stars. ``nodes`` has fp, bands and sig."""
-    placed = nodes.select("fp", "sig", F.posexplode("bands").alias("t", "key"))
-    sizes = nodes.select(F.posexplode("bands").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    by = ["t", "key", "c1", "c2"]
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, starts in _grouped(frames, by, 2048):
-            fps = frame["fp"].to_numpy()
-            a, b = alike(starts, np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(len(frame), -1))
-            label = _stars(len(frame), a, b)
-            moved = np.flatnonzero(label != np.arange(len(frame)))
-            yield pd.DataFrame({"a": fps[moved], "b": fps[label[moved]]})
-
-    return _cut(placed, ["t", "key"], F.ceil(F.col("n") / CHUNK), sizes).mapInPandas(compare, "a long, b long").where("a != b").distinct()
-
-
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, th, root, component): documents joined by chains of pairs whose five-word shingles have a Jaccard similarity of ``least`` or more.
-
-    One row comes out for each row that goes in. ``root`` names the group, ``component`` is its smallest doc_id, null if
-    all are null; ``th`` is the ``text_key``. Texts without words are one group. ``least`` may not be less than SIMILARITY,
-    for which the bands are made.
+def similar(sets: list[np.ndarray], least: float, asking: np.ndarray | None = None, label: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Links of sets of a Jaccard similarity of ``least`` or more.
+
+    Without ``asking`` they join the sets as all such pairs would: from each set that has been reached, one pass over
+    all that have not gives the sizes of its intersections with them. With it, only those sets ask, and a link goes
+    to one set of each other ``label`` that they are similar to.
     """
-    if least < SIMILARITY:
-        raise ValueError("the bands are too narrow for that similarity")
-    rows = materialize(prints(docs, doc_id, text), "shingle-prints")
-    nodes = rows.where("fp != 0").groupBy("fp").agg(F.min("th").alias("th"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = materialize(nodes, "shingle-nodes")
-    rough = components(materialize(rough_links(nodes), "rough-links").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    members = materialize(nodes.select("fp", "th").join(rough, F.col("fp") == F.col("node")).select("fp", "th", F.col("component").alias("g")), "rough-groups")
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
-
-    texts = docs.select(text_key(F.col(text)).alias("of"), F.col(text).alias("x")).join(members.select("th"), F.col("of") == F.col("th"), "left_semi")
-    full = materialize(texts.select("of", sets("x").alias("s")), "shingle-sets").dropDuplicates(["of"])
-    grouped = members.join(full, F.col("th") == F.col("of")).select("g", "fp", "s")
-    sizes = grouped.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.size("s")) / SHINGLES)).alias("n"))
-    by = ["g", "c1", "c2"]
-
-    def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, starts in _grouped(frames, by, 1):
-            fps, every = frame["fp"].to_numpy(), [np.asarray(s, np.int64) for s in frame["s"]]
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                a, b = similar(every[s:e], least)
-                if a:
-                    yield pd.DataFrame({"a": fps[s:e][a], "b": fps[s:e][b]})
-
-    links = _cut(grouped, ["g"], F.col("n"), sizes).mapInPandas(confirm, "a long, b long").distinct()
-    named = materialize(components(materialize(links, "shingle-links").select(F.col("a").alias("u"), F.col("b").alias("v"))), "shingle-groups")
-    rooted = rows.select("doc_id", "th", "fp").join(named.select("node", F.col("component").alias("r")), F.col("fp") == F.col("node"), "left")
-    rooted = materialize(rooted.select("doc_id", "th", F.coalesce("r", "fp").alias("root")), "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component")).withColumnRenamed("root", "of")
-    return rooted.join(smallest, F.col("root") == F.col("of")).select("doc_id", "th", "root", "component")
+    size = np.array([len(s) for s in sets])
+    terms = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.r_[0, np.cumsum(size)]
+    mark = np.zeros(len(terms) and int(terms.max()) + 1, np.int32)
+    a: list[int] = []
+    b: list[int] = []
+
+    def like(pivot: int, others: np.ndarray, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        own = terms[first[pivot] : first[pivot + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat], begins)
+        mark[own] = 0
+        return common >= least * (size[pivot] + size[others] - common)
+
+    def gather(others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = size[others]
+        begins = np.r_[0, np.cumsum(n)[:-1]]
+        return terms[np.arange(n.sum()) + np.repeat(first[others] - begins, n)], begins
+
+    if asking is not None:
+        everyone = np.arange(len(sets))
+        flat, begins = gather(everyone)
+        for pivot in np.flatnonzero(asking).tolist():
+            hit = np.flatnonzero(like(pivot, everyone, flat, begins) & (label != label[pivot]))
+            some = hit[np.unique(label[hit], return_index=True)[1]]
+            a += [pivot] * len(some)
+            b += some.tolist()
+        return a, b
+    left = np.arange(1, len(sets))
+    flat, begins = gather(left) if len(left) else (np.empty(0, int), np.empty(0, int))
+    reached = [0]
+    while len(left):
+        pivot = reached.pop()
+        hit = like(pivot, left, flat, begins)
+        if hit.any():
+            found = left[hit].tolist()
+            a += [pivot] * len(found)
+            b += found
+            reached += found
+            left = left[~hit]
+            if len(left):
+                flat, begins = gather(left)
+        if not reached and len(left):
+            reached, left = [int(left[0])], left[1:]
+            if len(left):
+                flat, begins = gather(left)
+    return a, b
