@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import mixing, packing, quality, shingles
+from veridelta.llm import mixing, packing, quality, simhash
 from veridelta.llm.common import materialize, table
 
 #: Documents with a quality score below this are rejected.
@@ -29,14 +29,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents with a null doc_id can't be told apart and stay. Different texts under one doc_id are documents of
     their own: each component keeps one row, of its smallest doc_id and of that the text with the smallest key.
     """
-    found = shingles.near_copies(docs.select("doc_id", "text"))
-    each = found.where(F.col("doc_id") == F.col("component")).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
-    kept = each.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"), "k.n")
-    keyed = docs.withColumn("__key", shingles.text_key(F.col("text")))
+    found = simhash.near_copies(docs.select("doc_id", "text")).where("doc_id is not null")
+    each = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"), F.first("component").alias("least"))
+    first = each.where("doc_id = least").groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"), "k.n")
+    kept = materialize(first, "near-copies-kept")
+    again = kept.where("n > 1").select("__id", "__th")
+    rest = each.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("th") == F.col("__th")), "left_anti")
+    out = rest.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).unionByName(again)
+    keyed = docs.withColumn("__key", simhash.text_key(F.col("text")))
     same = (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__th"))
-    stay = keyed.join(kept.where("n = 1"), same, "left_semi").drop("__key")
-    repeated = keyed.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
-    return stay.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    once = keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return keyed.join(out, same, "left_anti").unionByName(once).drop("__key")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
