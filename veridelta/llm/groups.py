@@ -18,19 +18,6 @@ BATCH = 2048
 Compare = Callable[[pd.DataFrame, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
 
 
-def star_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places is joined to by the links (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        np.minimum.at(low, b, label[a])
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
 def whole_groups(frames: Iterator[pd.DataFrame], by: list[str], batch: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Frames of whole groups, of ``batch`` rows or more if there are so many, with the groups' first rows and the end."""
     held: list[pd.DataFrame] = []
@@ -98,8 +85,8 @@ def group_links(rows: DataFrame, by: list[str], chunk: int, compare: Compare, we
         return found
     hot = materialize(shared.where("k > 1"), "hot-groups")
     again = materialize(compared(dealt(hot, 2), ["c"], False), "group-links")
-    found = found.unionByName(again)
-    named = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("__node"), "component")
+    named = components(found.unionByName(again).select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("__node"), "component")
+    found = named.where("__node != component").select(F.col("__node").alias("a"), F.col("component").alias("b"))  # the same links as stars
     labelled = hot.join(named, F.col("node") == F.col("__node"), "left").select(*names, "k", F.coalesce("component", "node").alias("label"))
     labelled = materialize(labelled, "hot-groups")
     shares = labelled.groupBy(*by, "label").agg(F.count("*").alias("n"))

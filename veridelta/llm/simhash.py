@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from . import shingles
 from .common import materialize, tune
-from .components import components
-from .groups import group_links, star_labels
+from .components import components, star_labels
+from .groups import group_links
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Fingerprints of a bucket that one task compares.
@@ -26,7 +26,7 @@ CHUNK = 1024
 #: Up to so many fingerprints, a bucket's pairs are lanes of their own, beside those of other small buckets.
 FEW = 64
 #: Near copies: words of a shingle, similarity, and the words of a fingerprint with the radius that sifts pairs.
-WIDTH, SIMILARITY, WORDS, RADIUS = 5, 0.8, 4, 64
+WIDTH, SIMILARITY, WORDS, RADIUS = 5, 0.8, 2, 38
 #: Shingle sets, and their shingles, that one task compares.
 SETS, SHINGLES = 1024, 1 << 19
 _SALT = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -35,15 +35,17 @@ _SALT = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 def fingerprint_words(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     """A fingerprint of 64 * ``words`` bits: a bit is 1 if set in over half the hashes. Further words come from the hashes mixed anew."""
     count = np.zeros(64 * words, np.int64)
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096]
+    for i in range(0, len(hashes), 4080):
+        part = hashes[i : i + 4080]
         wide = np.empty((len(part), words), np.uint64)
         wide[:, 0] = part
         for k in range(1, words):
             mixed = (part ^ _SALT[k]) * np.uint64(0xBF58476D1CE4E5B9)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
             wide[:, k] = mixed ^ (mixed >> np.uint64(32))
-        count += np.unpackbits(wide.view(np.uint8).reshape(len(part), 8 * words), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # as many ones fit a byte
+            count += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
     return np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
@@ -257,7 +259,7 @@ def shingle_prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            s = np.unique(shingles.shingle_hashes(t, WIDTH))
+            s = shingles.shingle_set(t, WIDTH)
             rows.append((shingles.digest(s), shingles.band_keys(s) if len(s) else np.empty(0, np.int64), fingerprint_words(s, WORDS).tobytes()))
         return pd.DataFrame(rows, columns=["fp", "bands", "sim"])
 
@@ -267,9 +269,9 @@ def shingle_prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, th, root, component): documents joined by chains of pairs whose five-word shingles have a Jaccard similarity of ``least`` or more.
 
-    Documents that share a minhash band are compared by their fingerprints of 256 bits, bit-sliced. Two sets of a
-    similarity of 0.8 differ in 39 of them on average; beyond RADIUS a pair is passed over (1 in 10,000 of long texts, of the shortest, 4
-    shingles against 5, 1 in 200). What is left gives rough groups, in which whole shingle sets are compared exactly.
+    Documents that share a minhash band are compared by their fingerprints of 128 bits, bit-sliced. Two sets of a
+    similarity of 0.8 differ in 19 of them on average; beyond RADIUS a pair is passed over (fewer than 1 in 100,000 of long
+    texts, of the shortest, 4 shingles against 5, 1 in 1,000). What is left gives rough groups, in which whole shingle sets are compared exactly.
 
     One row comes out for each row that goes in. ``root`` names the group, ``component`` is its smallest doc_id, null if
     all are null; ``th`` is the ``text_key``. Texts without words are one group. ``least`` may not be less than SIMILARITY,
@@ -287,7 +289,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles.shingle_hashes(t, WIDTH)).view(np.int64) for t in texts])
+        return pd.Series([shingles.shingle_set(t, WIDTH).view(np.int64) for t in texts])
 
     # Copies of a text meet in each task before they are shuffled, so that a text of very many rows fills no task.
     texts = docs.select(text_key(F.col(text)).alias("of"), F.col(text).alias("x")).dropDuplicates(["of"])
