@@ -182,7 +182,7 @@ def write_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     """Tokenizes whole texts and writes them as Simple-8b files in ascending doc_id order, null ids first.
 
     Returns the manifest (shard, path, n_docs, n_ids, n_words); it names the files of finished tasks alone, so
-    what a lost or repeated task has left behind is never read. Texts are ranged by id before they are tokenized;
+    what a lost or repeated task has left behind is never read. Ids are whole numbers of up to 64 bits; what can't be cast to them is an error. Texts are ranged by id before they are tokenized;
     equal ids are ranged by their texts, so that one repeated id fills no task alone.
     """
     spark = docs.sparkSession
@@ -198,16 +198,16 @@ def write_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
 
         def documents():
             for frame in frames:
-                known = frame["doc_id"].notna().tolist()
-                for key, has, body in zip(frame["doc_id"].tolist(), known, frame["text"].tolist(), strict=True):
-                    yield (int(key) if has else None), np.concatenate([np.frombuffer(encoder(body), "<u4"), last])
+                for key, has, body in zip(frame["doc_id"].tolist(), frame["known"].tolist(), frame["text"].tolist(), strict=True):
+                    yield (key if has else None), np.concatenate([np.frombuffer(encoder(body), "<u4"), last])
 
         shard = TaskContext.get().partitionId()
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.s8b"
         yield pd.DataFrame([(shard, name, *write_file(name, documents()))], columns=["shard", "path", "n_docs", "n_ids", "n_words"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    dealt = dealt.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")  # no null, so ids stay whole numbers
     return materialize(dealt.mapInPandas(write, "shard int, path string, n_docs long, n_ids long, n_words long"), "manifest")
 
 
@@ -233,7 +233,7 @@ def read_ids(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) ->
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def table_of(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        return pd.DataFrame({n: pd.array([r[k] for r in rows], dtype="Int64") if n == "doc_id" else pd.Series([r[k] for r in rows], dtype=object if n == "ids" else "int64") for k, n in enumerate(names)})
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     return files.repartitionByRange(count, "shard").mapInPandas(read, schema)
