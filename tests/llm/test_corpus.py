@@ -341,6 +341,15 @@ def test_archives(spark):
     assert warc.read_archives(spark, warc.write_archives(pages.where("false"))).count() == 0
 
 
+def test_archives_of_large_ids_long_urls_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 1000)
+    rows = [(2**53 + 3, "http://h/" + "u" * 100_000, "p" * 3000), (2**53 + 1, "a", "p" * 3000), (None, "b", "p" * 3000), (2**63 - 1, None, "q" * 1000), (7, "c", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.payloads(warc.read_archives(spark, manifest, with_data=False)).collect()}
+    assert got == {2**53 + 3: (3000, "revisit", 2**53 + 1), 2**53 + 1: (3000, "response", None), None: (3000, "response", None), 2**63 - 1: (1000, "response", None), 7: (0, "response", None)}
+
+
 @here
 def test_pipeline_against_plain_version(spark):
     """The stages' decisions, taken again without Spark from the classifier's scores on."""

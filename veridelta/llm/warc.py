@@ -22,8 +22,6 @@ from .common import materialize, open_shared, shared_path, tune
 CHUNK = 1 << 20
 #: Payloads below this many bytes are always written out.
 LEAST_REVISIT = 100
-#: Longest header block that a reader takes for one.
-MOST_HEADER = 1 << 16
 SPACE = uuid.UUID("9b2f0a4e-6f0f-5b0c-9f4e-2c8f1d3a7b60")
 
 
@@ -38,15 +36,27 @@ class Writer:
     def __init__(self, out):
         self.out = out
 
+    def begin(self, headers: list[tuple[str, str]], length: int) -> None:
+        """The header of a record whose block will have ``length`` bytes."""
+        self.packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+        head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(length))]) + "\r\n"
+        self.append(head.encode("utf-8"))
+
+    def append(self, chunk: bytes) -> None:
+        """More of the record's block."""
+        self.out.write(self.packer.compress(chunk))
+
+    def end(self) -> None:
+        """The end of the record."""
+        self.append(b"\r\n\r\n")
+        self.out.write(self.packer.flush())
+
     def record(self, headers: list[tuple[str, str]], chunks: Iterable[bytes], length: int) -> None:
         """One record; the chunks' bytes are ``length`` together, and never joined."""
-        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-        head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(length))]) + "\r\n"
-        self.out.write(packer.compress(head.encode("utf-8")))
+        self.begin(headers, length)
         for chunk in chunks:
-            self.out.write(packer.compress(chunk))
-        self.out.write(packer.compress(b"\r\n\r\n"))
-        self.out.write(packer.flush())
+            self.append(chunk)
+        self.end()
 
 
 class Reader:
@@ -88,10 +98,10 @@ class Reader:
         return got
 
     def header(self) -> dict[str, str] | None:
-        """The next record's headers, names in lower case; None at the end."""
-        while b"\r\n\r\n" not in self.ready.lstrip(b"\r\n"):
-            if len(self.ready) > MOST_HEADER:
-                raise ValueError("no WARC header")
+        """The next record's headers, names in lower case; None at the end. A header may be of any length, but must begin as one."""
+        while b"\r\n\r\n" not in (begun := self.ready.lstrip(b"\r\n")):
+            if begun and not b"WARC/".startswith(begun[:5]):
+                raise ValueError(f"no WARC record: {begun[:40]!r}")
             if not self.fill():
                 if self.ready.strip():
                     raise ValueError("an archive ends within a header")
@@ -131,22 +141,26 @@ def record_chunks(stream, size: int = CHUNK) -> Iterator[tuple]:
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """(page_id, url, payload, digest, n_bytes, refers_to): refers_to is the smallest page_id with an equal payload of at least ``least`` bytes.
 
-    The smallest id of each digest is found by a partial aggregate and joined back; where one payload is very common,
-    Spark splits that join. Only digests and ids are shuffled for it.
+    Revisits are resolved on ids and digests alone, short payloads left out: the smallest id of each digest by a partial
+    aggregate, then the list of pages that repeat it. That list is written first, so Spark knows its size and
+    sends it to the pages, which then don't move, if it is small; else it joins by page.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.col("digest").alias("of"), "first")
-    named = rows.join(first, F.col("digest") == F.col("of"), "left")
-    return named.select("page_id", "url", "payload", "digest", "n_bytes", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    narrow = materialize(rows.where((F.col("n_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest"), "payload-digests")
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
+    again = narrow.join(first.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("page_id") > F.col("first")))
+    again = materialize(again.select(F.col("page_id").alias("id"), F.xxhash64("digest").alias("key"), F.col("first").alias("refers_to")).distinct(), "revisits")
+    named = rows.join(again, (F.col("page_id") == F.col("id")) & (F.xxhash64("digest") == F.col("key")), "left")
+    return named.select("page_id", "url", "payload", "digest", "n_bytes", F.when(F.col("n_bytes") >= least, F.col("refers_to")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes a record for every row and returns the manifest (path, n_records) of the archives of finished tasks.
 
-    A null html is an empty payload. Rows with a null page_id, and all but one of equal rows with the same id, are
+    A null html is an empty payload. Ids are whole numbers of up to 64 bits; what can't be cast to them is an error. Payloads
+    come to the writer in chunks, a row for each. Rows with a null page_id, and all but one of equal rows with the same id, are
     records of their own. What a lost or repeated task left behind is in no manifest.
     """
     spark = pages.sparkSession
@@ -155,25 +169,36 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     when = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+        name, count, names = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, ("known", "key", "url", "digest", "n_bytes", "again", "first", "chunk", "data")
         with open_shared(name, "w") as out:
             writer = Writer(out)
             for frame in frames:
-                for key, target, payload, digest, n, first in zip(*(frame[c].tolist() for c in ("page_id", "url", "payload", "digest", "n_bytes", "refers_to")), strict=True):
-                    known, again = not pd.isna(key), not pd.isna(first)
-                    headers = [("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", record_id(int(key)) if known else f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", when)]
-                    headers += [("WARC-Target-URI", " ".join(target.split()))] if target else []
-                    headers += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(n))]
-                    headers += [("X-Page-ID", str(int(key)))] if known else []
-                    if again:
-                        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(int(first))), ("X-Refers-To-Page-ID", str(int(first)))]
-                        writer.record(headers, (), 0)
-                    else:
-                        writer.record(headers, (payload[i : i + CHUNK] for i in range(0, len(payload), CHUNK)), len(payload))
-                    count += 1
+                for known, key, target, digest, n, again, first, chunk, data in zip(*(frame[c].tolist() for c in names), strict=True):
+                    if chunk == 0:
+                        headers = [("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", record_id(key) if known else f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", when)]
+                        headers += [("WARC-Target-URI", " ".join(target.split()))] if target else []
+                        headers += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(n))]
+                        headers += [("X-Page-ID", str(key))] if known else []
+                        if again:
+                            headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first)), ("X-Refers-To-Page-ID", str(first))]
+                        left = 0 if again else n
+                        writer.begin(headers, left)
+                        count += 1
+                    writer.append(data)
+                    left -= len(data)
+                    if not left:
+                        writer.end()
         yield pd.DataFrame({"path": [name], "n_records": [count]})
 
-    return materialize(with_revisits(pages, page_id, url, html).mapInPandas(write, "path string, n_records long"), "warc-manifest")
+    rows = with_revisits(pages, page_id, url, html)
+    length = F.when(F.col("refers_to").isNull(), F.col("n_bytes")).otherwise(0)
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(length / CHUNK) - 1).cast("int"))
+    pieces = F.transform(numbers, lambda i: F.when(F.col("refers_to").isNull(), F.substring("payload", i * CHUNK + 1, F.lit(CHUNK))).otherwise(F.lit(b"")))
+    chunked = rows.select(
+        F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("key"), "url", "digest", "n_bytes",
+        F.col("refers_to").isNotNull().alias("again"), F.coalesce("refers_to", F.lit(0)).alias("first"), F.posexplode(pieces).alias("chunk", "data"),
+    )
+    return materialize(chunked.mapInPandas(write, "path string, n_records long"), "warc-manifest")
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, with_data: bool = True, size: int = CHUNK) -> DataFrame:
@@ -186,7 +211,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_data: bool = Tr
     names = ["record_id", "chunk", "page_id", "record_type", "refers_to", "declared_digest", "declared_bytes", "seen_bytes", "digest", "last", *(["data"] if with_data else [])]
 
     def frame_of(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "declared_bytes": "Int64"})
+        whole = ("page_id", "refers_to", "declared_bytes")  # may be null, and must not become doubles
+        return pd.DataFrame({n: pd.array([r[k] for r in rows], dtype="Int64") if n in whole else [r[k] for r in rows] for k, n in enumerate(names)})
 
     def number(text: str | None) -> int | None:
         return int(text) if text is not None else None
