@@ -14,13 +14,14 @@ from veridelta.sources.tables import materialize, shared_dir, table
 
 __all__ = ["materialize", "shared_dir", "table", "tune", "running_total", "shared_path", "open_shared", "tokenizer"]
 
-#: Rows of text that go to a Python worker at once; a text may have a hundred thousand characters.
-ARROW_ROWS = 400
+#: Rows of text, and their bytes, that go to a Python worker at once; a single longer text goes alone.
+ARROW_ROWS, ARROW_BYTES = 400, 32 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Keep the Arrow batches of whole texts small, so that long documents don't add up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, salt: Column, out: str) -> DataFrame:

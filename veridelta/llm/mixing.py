@@ -149,7 +149,7 @@ def mix(docs: DataFrame, targets: Targets = Targets(), doc_id: str = "doc_id", s
 
     A null source is a source of its own; a null or empty text counts as one token. Repeated rows appear each for itself.
     """
-    narrow = docs.select(F.col(doc_id).alias("id"), F.lit(0).alias("tie"), source_key(F.col(source)).alias("mix_key"), words(F.col(text)).alias("n_tokens"))
+    narrow = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("tie"), source_key(F.col(source)).alias("mix_key"), words(F.col(text)).alias("n_tokens"))
     found = schedule(materialize(narrow, "mix-rows"), targets)
     name = F.when(F.col("mix_key") != "-", F.substring("mix_key", 2, 1 << 30)).alias("source")
     return found.select(F.col("id").alias("doc_id"), name, "n_tokens", "weight", "epoch", "block", "position")
