@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their own: each component keeps one row, of its smallest doc_id and of that the text with the smallest key.
     """
     found = simhash.near_copies(docs.select("doc_id", "text")).where("doc_id is not null")
-    each = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"), F.first("component").alias("least"))
+    each = found.groupBy("doc_id", "th").agg(F.first("root").alias("root"), F.count("*").alias("n"), F.first("component").alias("least"))  # not by root: it may be hot
     first = each.where("doc_id = least").groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"), "k.n")
     kept = materialize(first, "near-copies-kept")
     again = kept.where("n > 1").select("__id", "__th")
