@@ -12,17 +12,20 @@ from veridelta.operators import adjudicate, predicate
 def raw(**changes):
     base = {
         "hypothesis_id": "h1", "mechanism": "a centre was slow", "test_archetype": "placebo", "treatment": {"dim": "fulfillment_center", "in": ["WEST_DC"]},
-        "control": {"dim": "fulfillment_center", "in": ["EAST_DC", "CENTRAL_DC"]}, "outcome": {"metric": "revenue", "expect": "decrease"},
-        "temporal": {"cause_onset": "2025-08-04", "kpi_onset": "2025-08-11"}, "refutes_if": {"condition": "both fall alike", "rationale": ""},
+        "control": {"dim": "fulfillment_center", "in": ["EAST_DC", "CENTRAL_DC"]}, "outcome": {"metric": "revenue", "expect": "decline"},
+        "temporal": {"cause_onset": "2025-08-04", "kpi_onset": "2025-08-11"}, "refutes_if": {"condition": "both fall alike", "rationale": "a shared fall has another cause"},
     }
     return base | changes
 
 
 def test_rejections():
     assert predicate.validate(raw()).hypothesis_id == "h1"
-    for bad in (raw(refutes_if={"condition": "  "}), raw(control={"dim": "channel", "in": ["x"]}), raw(control={"dim": "fulfillment_center", "in": ["WEST_DC"]}), raw(outcome={"metric": "units", "expect": ""}), raw(treatment={"dim": "nowhere", "in": ["x"]}), {}):
+    for bad in (raw(refutes_if={"condition": "  ", "rationale": "r"}), raw(refutes_if={"condition": "c", "rationale": " "}), raw(refutes_if={"condition": "c"}), raw(outcome={"metric": "revenue", "expect": "something"}), raw(temporal={"cause_onset": "soon", "kpi_onset": "2025-08-11"}), raw(control={"dim": "channel", "in": ["x"]}), raw(control={"dim": "fulfillment_center", "in": ["WEST_DC"]}), raw(outcome={"metric": "units", "expect": ""}), raw(treatment={"dim": "nowhere", "in": ["x"]}), {}):
         with pytest.raises(predicate.PredicateRejected):
             predicate.validate(bad)
+    with pytest.raises(predicate.PredicateRejected, match="treatment.in .*; .*refutes_if.rationale"):  # all faults at once
+        predicate.validate(raw(treatment={"dim": "channel", "in": []}, refutes_if={"condition": "c"}))
+    assert predicate.validate(predicate.validate(raw()).nested()).nested() == raw()
     with pytest.raises(predicate.PredicateRejected):
         predicate.validate_semantics(predicate.validate(raw()), {"fulfillment_center": ["WEST_DC"]})
 

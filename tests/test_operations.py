@@ -61,7 +61,7 @@ def test_from_sources_to_verdict(spark, world):
     assert reconcile.agreement_claim(claims).first()["verdict"] == "DISAGREES"
     files.register_views({"pos_transactions": world["pos"].withColumn("week", generate.week_of(F.col("date"), "2025-01-06")), "crm_headcount": world["crm"]})
     windows = {"week": ((26, 30), (32, 36)), "month": (("2025-06", "2025-07"), ("2025-08", "2025-09"))}
-    base = {"mechanism": "m", "outcome": {"metric": "revenue", "expect": "decrease"}, "temporal": {"cause_onset": "2025-08-04", "kpi_onset": "2025-08-11"}, "refutes_if": {"condition": "no gap"}}
+    base = {"mechanism": "m", "outcome": {"metric": "revenue", "expect": "decline"}, "temporal": {"cause_onset": "2025-08-04", "kpi_onset": "2025-08-11"}, "refutes_if": {"condition": "no gap", "rationale": "a shared fall has another cause"}}
     reps = base | {"hypothesis_id": "h_rep_attrition", "test_archetype": "specificity", "treatment": {"dim": "rep_id", "in": ["W1", "W2", "W3", "W4"]}, "control": {"dim": "rep_id", "in": ["W5", "W6"]}}
     center = base | {"hypothesis_id": "h_shipping_delay", "test_archetype": "placebo", "treatment": {"dim": "fulfillment_center", "in": ["WEST_DC"]}, "control": {"dim": "fulfillment_center", "in": ["EAST_DC", "CENTRAL_DC"]}}
     panel = None
@@ -79,8 +79,14 @@ def test_clusters(spark):
     frame = spark.createDataFrame(rows, "id int, g string, v array<double>")
     got = {r["id"]: r["cluster"] for r in topics.cluster_texts(frame, "g", "id", "v").collect()}
     assert got == {i: i % 4 for i in range(40)}
-    split = topics.cluster_texts(frame, "g", "id", "v", cell=10).collect()
-    assert len(split) == 40 and len({r["cell"] for r in split}) > 1
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 5))
+    rows = [(i, "g" if i % 3 else "h", [float(x) for x in centres[rng.integers(6)] * rng.uniform(0.5, 2) + 0.6 * rng.normal(size=5)]) for i in range(90)] + [(200 + i, "g", [0.0] * 5) for i in range(2)] + [(300, "h", [1.0, 0.0, 0.0, 0.0, 0.0])] * 3
+    frame = spark.createDataFrame(rows, "id int, g string, v array<double>")
+    whole = sorted((r["g"], r["id"], r["cluster"]) for r in topics.cluster_texts(frame, "g", "id", "v", threshold=0.4).collect())
+    for cell, block in ((10, 16), (25, 2048)):  # groups over the cell, in rounds and blocks, as whole
+        assert sorted((r["g"], r["id"], r["cluster"]) for r in topics.cluster_texts(frame, "g", "id", "v", threshold=0.4, cell=cell, block=block).collect()) == whole
+    assert 4 < len({c for _, _, c in whole}) < 60
     assert topics.agglomerate(np.array([[1.0, 0], [0.9, 0.1], [0, 1]]), np.ones(3), 0.65).tolist() == [0, 0, 2]
 
 
@@ -234,7 +240,7 @@ def test_methods_and_proposals(spark, book):
     assert methods.by_category(rows).where("category = 'llm'").first()["n"] == 2
     config = proposer.ProposerConfig().updated(backend="hosted", api_key="s")
     assert config.public() == {"backend": "hosted", "model": None, "has_api_key": True} and proposer.hosted_cost(1000, 1000) == pytest.approx(0.018)
-    good = json.dumps({"hypothesis_id": "h", "mechanism": "m", "test_archetype": "placebo", "treatment": {"dim": "channel", "in": ["a"]}, "control": {"dim": "channel", "in": ["b"]}, "outcome": {"metric": "revenue", "expect": "decrease"}, "temporal": {"cause_onset": "2025-01-01", "kpi_onset": "2025-01-02"}, "refutes_if": {"condition": "x"}})
+    good = json.dumps({"hypothesis_id": "h", "mechanism": "m", "test_archetype": "placebo", "treatment": {"dim": "channel", "in": ["a"]}, "control": {"dim": "channel", "in": ["b"]}, "outcome": {"metric": "revenue", "expect": "decline"}, "temporal": {"cause_onset": "2025-01-01", "kpi_onset": "2025-01-02"}, "refutes_if": {"condition": "x", "rationale": "y"}})
     answers = iter(["not json", good])
     ask = lambda text: (next(answers), 10, 5)
     made = proposer.propose_for_topic(book, ask, {"t": 1}, {}, {"channel": ["a", "b"]}, config)

@@ -49,7 +49,7 @@ def test_run_lengths_keep_the_mass_of_no_hazard(values, hazard):
 
 
 def series(spark, kpi, region, values, unit="week", baseline=None):
-    rows = [(kpi, region, unit, i + 1, None if v is None else float(v), baseline) for i, v in enumerate(values)]
+    rows = [(kpi, region, unit, i + 1, None if v is None else float(v), None if baseline is None else [float(x) for x in baseline]) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "kpi string, region string, period_unit string, period int, value double, baseline array<double>")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from veridelta import contract as contracts
 from veridelta.functions.columns import half_even
+from veridelta.sources.tables import is_missing
 
 #: Columns of each table besides created_at and seq.
 TABLES = {
@@ -33,7 +34,7 @@ TABLES = {
 
 
 def schema_of(name: str) -> str:
-    return TABLES[name] + ", created_at timestamp, seq bigint"
+    return TABLES[name] + ", created_at timestamp, seq decimal(38,0)"
 
 
 class Ledger:
@@ -46,7 +47,9 @@ class Ledger:
         """A table; empty where nothing was written. Columns that an older file lacks are null."""
         try:
             return self.spark.read.schema(schema_of(name)).parquet(f"{self.folder}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
             return self.spark.createDataFrame([], schema_of(name))
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -55,7 +58,7 @@ class Ledger:
         fields = self.spark.createDataFrame([], TABLES[name]).schema.fields
         have = {c.lower() for c in rows.columns}
         cells = [(F.col(f.name) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
-        stamped = rows.select(*cells, F.current_timestamp().alias("created_at"), (F.lit(self.batch * 1_000_000) + F.monotonically_increasing_id() % 1_000_000).alias("seq"))
+        stamped = rows.select(*cells, F.current_timestamp().alias("created_at"), (F.lit(self.batch).cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.monotonically_increasing_id()).cast("decimal(38,0)").alias("seq"))
         stamped.write.mode("append").parquet(f"{self.folder}/{name}")
 
     def append_rows(self, name: str, rows: list[dict]) -> None:
@@ -149,7 +152,7 @@ def with_fresh_ids(old: DataFrame, new: DataFrame, key: str = "hypothesis_id") -
     """New rows, those whose id is taken renamed to <id>_llm2, _llm3 and so on, after any such names that exist."""
     stem, number = F.regexp_replace(key, r"_llm\d+$", ""), F.regexp_extract(key, r"_llm(\d+)$", 1)
     taken = old.select(stem.alias("__stem"), F.when(number == "", 1).otherwise(number.cast("int")).alias("__n")).groupBy("__stem").agg(F.max("__n").alias("__last"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*new.columns), F.to_json(F.struct(*new.columns))))
     rows = new.withColumn("__place", place).join(taken, F.col(key) == F.col("__stem"), "left")
     count = F.coalesce("__last", F.lit(0)) + F.col("__place")
     return rows.withColumn(key, F.when(count > 1, F.concat(F.col(key), F.lit("_llm"), count.cast("string"))).otherwise(F.col(key))).drop("__place", "__stem", "__last")

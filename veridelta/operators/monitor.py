@@ -47,14 +47,15 @@ def psi_verdict_column(value: Column) -> Column:
 def psi_by_key(pairs: DataFrame, keys: list[str], buckets: int = 10) -> DataFrame:
     """(keys, n_baseline, n_current, psi): the index of many metrics in one plan. ``pairs`` has keys, is_current and value.
 
-    Quantile edges are found per key, values are put in buckets by the number of edges below them, and shares compared.
+    Quantile edges are found per key, values are put in buckets by the number of edges below them, and shares compared. With
+    fewer than three edges the baseline is all but constant: the index is then 0 if the means are alike, else infinite.
     """
     rows = pairs.where(F.col("value").isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.count(F.when(~F.col("is_current"), 1)).alias("n_baseline"), F.count(F.when(F.col("is_current"), 1)).alias("n_current"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.when(~F.col("is_current"), 1)).alias("n_baseline"), F.count(F.when(F.col("is_current"), 1)).alias("n_current"), F.avg(F.when(~F.col("is_current"), F.col("value"))).alias("__was"), F.avg(F.when(F.col("is_current"), F.col("value"))).alias("__now"))
     k = F.greatest(F.lit(2), F.least(F.lit(buckets), F.floor(F.col("n_baseline") / 5), F.floor(F.col("n_current") / 5))).cast("int")
     base = rows.where(~F.col("is_current")).groupBy(*keys).agg(*[F.percentile("value", F.array(*[F.lit(i / n) for i in range(n + 1)])).alias(f"q{n}") for n in range(2, buckets + 1)])
     pick = F.coalesce(*[F.when(F.col("__k") == n, F.array_sort(F.array_distinct(f"q{n}"))) for n in range(2, buckets + 1)])
-    edges = sizes.where("n_baseline >= 2 and n_current >= 1").withColumn("__k", k).join(base, keys).select(*keys, "n_baseline", "n_current", pick.alias("__edges"))
+    edges = sizes.where("n_baseline >= 2 and n_current >= 1").withColumn("__k", k).join(base, keys).select(*keys, "n_baseline", "n_current", "__was", "__now", pick.alias("__edges"))
     inside = rows.join(edges, keys).where((F.size("__edges") >= 3) & F.col("value").between(F.get("__edges", F.lit(0)), F.get("__edges", F.size("__edges") - 1)))
     bucket = F.least(F.size(F.filter("__edges", lambda e: e <= F.col("value"))) - 1, F.size("__edges") - 2)
     counts = inside.groupBy(*keys, bucket.alias("__bucket")).agg(F.count(F.when(~F.col("is_current"), 1)).alias("__a"), F.count(F.when(F.col("is_current"), 1)).alias("__b"))
@@ -62,14 +63,17 @@ def psi_by_key(pairs: DataFrame, keys: list[str], buckets: int = 10) -> DataFram
     whole = Window.partitionBy(*keys)
     p = F.coalesce("__a", F.lit(0)) / F.sum("__a").over(whole) + EPS
     q = F.coalesce("__b", F.lit(0)) / F.greatest(F.coalesce(F.sum("__b").over(whole), F.lit(0)), F.lit(1)) + EPS
-    return every.withColumn("__p", p).withColumn("__q", q).groupBy(*keys, "n_baseline", "n_current").agg(F.sum((F.col("__q") - F.col("__p")) * F.log(F.col("__q") / F.col("__p"))).alias("psi"))
+    moved = F.abs(F.col("__was") - F.col("__now")) > F.greatest(F.lit(1e-5) * F.greatest(F.abs("__was"), F.abs("__now")), F.lit(1e-6))
+    constant = edges.where(F.size("__edges") < 3).select(*keys, "n_baseline", "n_current", F.when(moved, F.lit(math.inf)).otherwise(0.0).alias("psi"))
+    spread = every.withColumn("__p", p).withColumn("__q", q).groupBy(*keys, "n_baseline", "n_current").agg(F.sum((F.col("__q") - F.col("__p")) * F.log(F.col("__q") / F.col("__p"))).alias("psi"))
+    return spread.unionByName(constant)
 
 
 def assess_drift(snapshots: DataFrame, run_id: str) -> DataFrame:
     """(metric, psi, verdict, n_baseline, n_current) of a run against all before it, with an overall row of the worst verdict.
 
     ``snapshots`` has run_id, created_at and the arrays l1_posteriors, did_effects and did_mdes. With fewer than five
-    earlier runs every verdict is UNKNOWN, and one unknown metric doesn't keep the overall one from being STABLE.
+    earlier runs every verdict is UNKNOWN; with enough, unknown metrics, even all of them, don't keep the overall one from being STABLE.
     """
     metrics = ["l1_posteriors", "did_effects", "did_mdes"]
     tall = None
@@ -82,7 +86,9 @@ def assess_drift(snapshots: DataFrame, run_id: str) -> DataFrame:
     every = snapshots.sparkSession.createDataFrame([(m,) for m in metrics], "metric string").join(found, "metric", "left").join(enough, F.lit(True))
     each = every.select("metric", F.when(F.col("enough"), F.col("psi")).alias("psi"), "n_baseline", "n_current").withColumn("verdict", psi_verdict_column(F.col("psi")))
     rank = F.when(F.col("verdict") == "SIGNIFICANT_DRIFT", 3).when(F.col("verdict") == "MODERATE_SHIFT", 2).when(F.col("verdict") == "STABLE", 1).otherwise(0)
-    overall = each.agg(F.max_by("verdict", rank).alias("verdict"), F.max("psi").alias("psi")).select(F.lit("overall").alias("metric"), "psi", F.lit(None).cast("long").alias("n_baseline"), F.lit(None).cast("long").alias("n_current"), "verdict")
+    overall = each.join(enough, F.lit(True)).agg(F.max_by("verdict", rank).alias("__worst"), F.max("psi").alias("psi"), F.first("enough").alias("enough"))
+    overall = overall.withColumn("verdict", F.when(F.col("enough") & (F.col("__worst") == "UNKNOWN"), "STABLE").otherwise(F.col("__worst")))
+    overall = overall.select(F.lit("overall").alias("metric"), "psi", F.lit(None).cast("long").alias("n_baseline"), F.lit(None).cast("long").alias("n_current"), "verdict")
     return each.unionByName(overall)
 
 

@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from veridelta.operators.predicate import Predicate, PredicateRejected, validate, validate_semantics
+from veridelta.operators.predicate import PredicateRejected, described, validate, validate_semantics
 
 #: Attempts, and hosted prices per 1000 tokens in and out.
 ATTEMPTS, PRICE_IN, PRICE_OUT = 3, 0.003, 0.015
@@ -40,11 +40,11 @@ def topic_key(topic: dict, context: dict, kind: str = "topic") -> str:
 
 
 def topic_prompt(topic: dict, context: dict, allowed: dict[str, list[str]]) -> str:
-    return json.dumps({"task": "Propose one causal predicate that explains the movement, as JSON.", "topic": topic, "movement": context, "dimensions": allowed, "schema": Predicate.model_json_schema()}, default=str)
+    return json.dumps({"task": "Propose one causal predicate that explains the movement, as JSON.", "topic": topic, "movement": context, "dimensions": allowed, "schema": described()}, default=str)
 
 
 def challenge_prompt(survivor: dict, context: dict, allowed: dict[str, list[str]]) -> str:
-    return json.dumps({"task": "Propose one rival predicate that would explain the movement instead, as JSON.", "survivor": survivor, "movement": context, "dimensions": allowed, "schema": Predicate.model_json_schema()}, default=str)
+    return json.dumps({"task": "Propose one rival predicate that would explain the movement instead, as JSON.", "survivor": survivor, "movement": context, "dimensions": allowed, "schema": described()}, default=str)
 
 
 def propose(ask: Callable[[str], tuple[str, int, int]] | None, prompt: str, allowed: dict[str, list[str]], attempts: int = ATTEMPTS) -> dict:
@@ -62,7 +62,7 @@ def propose(ask: Callable[[str], tuple[str, int, int]] | None, prompt: str, allo
         try:
             found = validate(json.loads(answer))
             validate_semantics(found, allowed)
-            return {"predicate": json.loads(found.model_dump_json(by_alias=True)), "reason": "", "tokens_in": used[0], "tokens_out": used[1], "latency_ms": (time.perf_counter() - start) * 1000, "attempts": k}
+            return {"predicate": found.nested(), "reason": "", "tokens_in": used[0], "tokens_out": used[1], "latency_ms": (time.perf_counter() - start) * 1000, "attempts": k}
         except (PredicateRejected, ValueError) as e:
             reason = str(e)
             text = f"{prompt}\nThe last answer was rejected: {reason}"

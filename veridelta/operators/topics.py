@@ -13,18 +13,22 @@ from veridelta.sources.tables import materialize
 
 #: Largest cosine distance within a cluster, fewest texts of a cluster, terms named.
 DISTANCE, SMALLEST, TERMS = 0.65, 3, 6
-#: Vectors that are clustered together at most; larger groups are cut by random hyperplanes first.
+#: Clusters of a group that one task merges to the end; groups of more are merged round by round first.
 CELL = 1500
+#: Clusters in a block, when a larger group's nearest neighbours are looked for.
+BLOCK = 2048
 
 
-def agglomerate(vectors: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels by average linkage on cosine distance (Lance and Williams), merging until the nearest are ``threshold`` apart."""
-    n = len(vectors)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / np.where(norm > 0, norm, 1)
-    distance = 1 - unit @ unit.T
+def agglomerate(sums: np.ndarray, weights: np.ndarray, threshold: float) -> np.ndarray:
+    """Labels by average linkage on cosine distance (Lance and Williams), merging until the nearest are ``threshold`` apart.
+
+    A cluster is given by the sum of its unit vectors and their number.
+    """
+    n = len(sums)
+    mean = sums / weights[:, None]
+    distance = 1 - mean @ mean.T
     np.fill_diagonal(distance, np.inf)
-    label, weight, alive = np.arange(n), sizes.astype(np.float64), np.ones(n, bool)
+    label, weight, alive = np.arange(n), weights.astype(np.float64), np.ones(n, bool)
     for _ in range(n - 1):
         i, j = divmod(int(distance.argmin()), n)
         if distance[i, j] > threshold:
@@ -42,33 +46,73 @@ def agglomerate(vectors: np.ndarray, sizes: np.ndarray, threshold: float) -> np.
     return label
 
 
-def cluster_texts(rows: DataFrame, group: str, key: str, embedding: str, threshold: float = DISTANCE, cell: int = CELL) -> DataFrame:
-    """(group, key, cell, cluster): average-linkage clusters within each group.
-
-    Groups of up to ``cell`` distinct vectors are clustered whole. Larger ones are first cut into cells by the signs of
-    enough random projections; clusters then don't cross cells, which is the price of never gathering a large group.
-    Equal vectors count once, with their number as weight. A cluster's id is its smallest key.
+def _nearest(clusters: DataFrame, blocks: DataFrame, kind: tuple[str, str], threshold: float, block: int) -> DataFrame:
+    """(g, c, n): the nearest other cluster of each within the threshold, of equals the pair with the smallest ids; by pairs of blocks."""
+    own = F.pmod(F.xxhash64("c"), F.col("k")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, own).alias("b1"), F.greatest(j, own).alias("b2")))
+    dealt = clusters.join(blocks, "g").withColumn("b", own).withColumn("p", F.explode(pairs)).select("g", "c", "s", "w", "b", "p.b1", "p.b2")
+
+    def look(frame: pd.DataFrame) -> pd.DataFrame:
+        name, mean = frame["c"].to_numpy(), np.stack([np.asarray(s) for s in frame["s"]]) / frame["w"].to_numpy()[:, None]
+        left, right = (np.flatnonzero(frame["b"].to_numpy() == frame[b].iloc[0]) for b in ("b1", "b2"))
+        out = []
+        for mine, others in ((left, right), (right, left))[: 1 if frame["b1"].iloc[0] == frame["b2"].iloc[0] else 2]:
+            if not len(mine) or not len(others):
+                continue
+            others = others[np.argsort(name[others], kind="stable")]
+            distance = 1 - mean[mine] @ mean[others].T
+            distance[name[mine][:, None] == name[others][None, :]] = np.inf
+            at = distance.argmin(axis=1)  # of equals the smallest id
+            out.append(pd.DataFrame({"g": frame["g"].iloc[0], "c": name[mine], "n": name[others][at], "d": distance[np.arange(len(mine)), at]}))
+        found = pd.concat(out) if out else pd.DataFrame({"g": frame["g"][:0], "c": name[:0], "n": name[:0], "d": np.empty(0)})
+        return found[found["d"] <= threshold]
+
+    found = dealt.groupBy("g", "b1", "b2").applyInPandas(look, f"g {kind[0]}, c {kind[1]}, n {kind[1]}, d double")
+    return found.groupBy("g", "c").agg(F.min(F.struct("d", F.least("c", "n").alias("x"), F.greatest("c", "n").alias("y"), "n")).alias("m")).select("g", "c", "m.n")
+
+
+def cluster_texts(rows: DataFrame, group: str, key: str, embedding: str, threshold: float = DISTANCE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """(group, key, cluster): average-linkage clusters within each group; a cluster's id is its smallest key.
+
+    With the sums of unit vectors the average cosine of two clusters is exact, and clusters that are each other's nearest
+    may be merged in any order. So a group of more than ``cell`` clusters is merged in rounds, all such pairs at a time, until
+    few enough are left for one task or none is near enough; the clusters are those of the whole group at any size. A round
+    compares a group's clusters by pairs of blocks, with one nearest for each, so its cost grows with the square of a
+    group, its memory with the block. Equal vectors count once, with their number as weight. Zero vectors are 1 apart from all.
     """
     clean = rows.where(F.col(embedding).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(embedding).alias("v")).withColumn("vh", F.xxhash64("v"))
-    distinct = clean.groupBy("g", "vh").agg(F.first("v").alias("v"), F.min("k").alias("first"), F.count("*").alias("size"))
-    bits = distinct.groupBy("g").agg(F.ceil(F.greatest(F.lit(0.0), F.log2(F.count("*") / F.lit(float(cell))))).cast("int").alias("bits"))
-    dim = F.size("v")
-    cells = distinct.join(bits, "g").withColumn(
-        "cell",
-        F.aggregate(
-            F.sequence(F.lit(0), F.col("bits")), F.lit(0).cast("long"),
-            lambda s, b: F.when(b < F.col("bits"), s * 2 + (F.aggregate(F.sequence(F.lit(0), dim - 1), F.lit(0.0), lambda t, i: t + F.get("v", i) * (F.pmod(F.xxhash64(b, i), F.lit(2001)) - 1000)) > 0).cast("long")).otherwise(s),
-        ),
-    )
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("first", ignore_index=True)
-        label = agglomerate(np.stack([np.asarray(v, np.float64) for v in frame["v"]]), frame["size"].to_numpy(), threshold)
-        return pd.DataFrame({"g": frame["g"], "vh": frame["vh"], "cell": frame["cell"], "cluster": frame["first"].to_numpy()[label]})
-
-    kinds = dict(clean.dtypes)
-    labelled = cells.select("g", "vh", "v", "first", "size", "cell").groupBy("g", "cell").applyInPandas(one, f"g {kinds['g']}, vh long, cell long, cluster {kinds['k']}")
-    return clean.select("g", "k", "vh").join(labelled, ["g", "vh"]).select(F.col("g").alias(group), F.col("k").alias(key), "cell", "cluster")
+    kind = dict(clean.dtypes)["g"], dict(clean.dtypes)["k"]
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    distinct = clean.groupBy("g", "vh").agg(F.first("v").alias("v"), F.min("k").alias("c"), F.count("*").cast("double").alias("w"))
+    unit = F.transform("v", lambda x: x.cast("double") * F.col("w") / F.when(norm > 0, norm).otherwise(1.0))
+    state = materialize(distinct.select("g", "vh", "c", unit.alias("s"), "w"), "clusters")
+    label = state.select("g", "vh", "c")
+    clusters, done = state.drop("vh"), None
+    while True:
+        large = clusters.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("g", F.ceil(F.col("n") / block).cast("int").alias("k"))
+        large = materialize(large if done is None else large.join(done, "g", "left_anti"), "large-groups")
+        if large.isEmpty():
+            break
+        near = materialize(_nearest(clusters, large, kind, threshold, block), "nearest")
+        back = near.select("g", F.col("c").alias("n"), F.col("n").alias("c"))
+        merged = materialize(near.join(back, ["g", "c", "n"]).where("c > n").select("g", "c", F.col("n").alias("into")), "merged")
+        still = merged.select("g").distinct()
+        over = large.join(still, "g", "left_anti").select("g")
+        done = materialize(over if done is None else done.unionByName(over), "settled-groups")
+        moved = clusters.join(merged, ["g", "c"], "left").select("g", F.coalesce("into", "c").alias("c"), "s", "w")
+        total = F.when(F.count("*") == 1, F.first("s")).otherwise(F.zip_with(F.first("s"), F.last("s"), lambda x, y: x + y))
+        clusters = materialize(moved.groupBy("g", "c").agg(total.alias("s"), F.sum("w").alias("w")), "clusters")
+        label = materialize(label.join(merged, ["g", "c"], "left").select("g", "vh", F.coalesce("into", "c").alias("c")), "labels")
+
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("c", ignore_index=True)
+        last = agglomerate(np.stack([np.asarray(s, np.float64) for s in frame["s"]]), frame["w"].to_numpy(), threshold)
+        return pd.DataFrame({"g": frame["g"], "c": frame["c"], "cluster": frame["c"].to_numpy()[last]})
+
+    rest = clusters if done is None else clusters.join(done, "g", "left_anti")
+    ends = rest.groupBy("g").applyInPandas(finish, f"g {kind[0]}, c {kind[1]}, cluster {kind[1]}")
+    named = label.join(ends, ["g", "c"], "left").select("g", "vh", F.coalesce("cluster", "c").alias("cluster"))
+    return clean.select("g", "k", "vh").join(named, ["g", "vh"]).select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
 
 
 def terms_of(texts: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def raw_predicate(name: str, dim: str, treated: list[str]) -> dict:
     return {
         "hypothesis_id": name, "mechanism": f"{', '.join(treated)} lost sales", "test_archetype": "placebo",
         "treatment": {"dim": dim, "in": treated}, "control": {"dim": dim, "in": [v for v in VALUES[dim] if v not in treated]},
-        "outcome": {"metric": "revenue", "expect": "decrease"}, "temporal": {"cause_onset": "1997-01-01", "kpi_onset": "1997-01-08"},
+        "outcome": {"metric": "revenue", "expect": "decline"}, "temporal": {"cause_onset": "1997-01-01", "kpi_onset": "1997-01-08"},
         "refutes_if": {"condition": "treatment falls no more than control", "rationale": "a shared decline has another cause"},
     }
 

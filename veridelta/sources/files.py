@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from veridelta.sources.tables import is_missing
+
 #: Declared schemas of the sources, as DDL.
 SCHEMAS = {
     "pos_transactions": "date date, region string, product_category string, fulfillment_center string, units int, gross_revenue double",
@@ -17,8 +19,8 @@ SCHEMAS = {
 
 
 def read_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One CSV source with its declared schema; columns are taken by position, dates as ISO."""
-    return spark.read.schema(SCHEMAS[name]).option("header", True).csv(f"{folder}/{name}.csv")
+    """One CSV source with its declared schema; a header that names other columns, or in another order, is an error; dates as ISO."""
+    return spark.read.schema(SCHEMAS[name]).option("header", True).option("enforceSchema", False).csv(f"{folder}/{name}.csv")
 
 
 def read_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -32,7 +34,9 @@ def read_if_there(spark: SparkSession, folder: str, name: str) -> DataFrame | No
         df = read_source(spark, folder, name)
         df.limit(0).count()
         return df
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return None
 
 
@@ -40,7 +44,9 @@ def read_artifact(spark: SparkSession, path: str, lines: bool = True) -> DataFra
     """A JSON artefact of an earlier step, a document on each line, or else one document or array; None where it is missing."""
     try:
         return spark.read.option("multiLine", not lines).json(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return None
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,9 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it; one of our own where it names none."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or _own_dir(spark.sparkContext.applicationId)
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing is there."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 @lru_cache
 def _own_dir(application: str) -> str:
     """A folder for an application whose session names none, as in tests on one machine."""
