@@ -173,12 +173,31 @@ def test_quality_edges(spark, odd_docs, no_docs):
 
 
 def test_non_negative_risk():
+    """Against a plain minimiser: no step in any direction lowers the risk, whether its negative part is above, at or below zero."""
     rng = np.random.default_rng(0)
-    p, u = rng.normal(1, 1, (5, 3)), rng.normal(0, 1, (500, 3))
     moments = lambda x: (x.mean(axis=0), x.T @ x / len(x))
-    (mp, sp), (mu, su) = moments(p), moments(u)
-    w = quality.solve(0.9, mp, sp, mu, su)
-    assert np.isfinite(w).all() and (1 + 2 * w @ mu + w @ su @ w) / 4 >= 0.9 * (1 + 2 * w @ mp + w @ sp @ w) / 4 - 1e-6
+    seen = set()
+    for prior, n, shift in ((0.3, 400, 1.0), (0.9, 5, 1.0), (0.6, 8, 0.3), (0.97, 4, 2.0), (0.5, 50, 0.0)):
+        p, u = rng.normal(shift, 1, (n, 3)), rng.normal(0, 1, (500, 3))
+        (mp, sp), (mu, su) = moments(p), moments(u)
+
+        def parts(w):
+            first = prior * (1 - 2 * w @ mp + w @ sp @ w) / 4
+            return first, (1 + 2 * w @ mu + w @ su @ w) / 4 - prior * (1 + 2 * w @ mp + w @ sp @ w) / 4
+
+        def risk(w):
+            first, negatives = parts(w)
+            return first + max(0.0, negatives) + quality.RIDGE * w @ w / 4
+
+        w = quality.solve(prior, mp, sp, mu, su)
+        seen.add(int(np.sign(round(parts(w)[1], 6))))
+        best, step = w.copy(), 0.1
+        while step > 1e-7:  # coordinate and random directions
+            moves = [best + step * d for d in np.vstack([np.eye(3), -np.eye(3), rng.normal(size=(20, 3))])]
+            lower = min(moves, key=risk)
+            best, step = (lower, step) if risk(lower) < risk(best) - 1e-12 else (best, step / 2)
+        assert risk(w) <= risk(best) + 1e-6
+    assert len(seen) > 1
 
 
 URLS = ["http://Example.NET/en/1", "https://a.b.example.net/en", "http://example.net/EN/", "http://x.net", "http://x.net/", "http://net/", "http://notexample.com/de/", "http://www.example.com/de/x?y#z", "http://example.com/d", "http://m.org/fr/1", "http://org/fr", "nonsense", None, "", "http://", "http:///net/", "http://a.net?/x", "http://a.net#/", "ftp://u.example.com/de/", "http://example.com/de/", "http://example.com/de/"]

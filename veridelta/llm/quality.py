@@ -115,25 +115,31 @@ class QualityModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * z))
 
 
-def solve(prior: float, positive: np.ndarray, positive_square: np.ndarray, mean: np.ndarray, square: np.ndarray, rounds: int = 500) -> np.ndarray:
+def solve(prior: float, positive: np.ndarray, positive_square: np.ndarray, mean: np.ndarray, square: np.ndarray) -> np.ndarray:
     """Weights of least non-negative unbiased risk.
 
-    The unbiased risk has a closed-form minimum. Where it makes the risk on the negatives negative, which is a
-    sign of overfitting, steps follow as the non-negative estimator prescribes: up that part's gradient while it
-    is below zero, down the whole risk's otherwise.
+    The risk prior * E_P[(1 - z)^2] / 4 + max(0, negatives' part) is the larger of two convex quadratics: its first term
+    alone, and the unbiased risk. So its minimum is that of a convex combination of the two: the unbiased risk's where that is the
+    larger one there, the first term's likewise, or else the combination at whose minimum both are equal, found by bisection.
     """
     ridge = RIDGE * np.eye(len(mean))
-    w = np.linalg.solve(square + ridge, 2 * prior * positive - mean)
-    step = 0.5 / max(1e-9, float(np.linalg.eigvalsh(square + ridge).max()))
 
-    def negative(w: np.ndarray) -> float:
-        unlabelled = (1 + 2 * w @ mean + w @ square @ w) / 4
-        return float(unlabelled - prior * (1 + 2 * w @ positive + w @ positive_square @ w) / 4)
-
-    for _ in range(rounds):
-        if negative(w) >= 0:
-            break
-        w = w + step * ((mean + square @ w) - prior * (positive + positive_square @ w)) / 2
+    def at(share: float) -> tuple[np.ndarray, float]:
+        w = np.linalg.solve(share * prior * positive_square + (1 - share) * square + ridge, share * prior * positive + (1 - share) * (2 * prior * positive - mean))
+        negatives = (1 + 2 * w @ mean + w @ square @ w) / 4 - prior * (1 + 2 * w @ positive + w @ positive_square @ w) / 4
+        return w, float(negatives)
+
+    w, negatives = at(0.0)
+    if negatives >= 0:
+        return w
+    w, negatives = at(1.0)
+    if negatives <= 0:
+        return w
+    low, high = 0.0, 1.0  # the negatives' part grows with the share of the first term
+    for _ in range(60):
+        share = (low + high) / 2
+        w, negatives = at(share)
+        low, high = (share, high) if negatives < 0 else (low, share)
     return w
 
 
