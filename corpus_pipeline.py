@@ -16,10 +16,10 @@ MIXTURE = mixing.Targets(entropy=0.95, repetition=2.0)
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject, with all their columns."""
-    rows = materialize(quality.with_features(docs), "quality-features")
-    model = quality.fit(rows, table(spark, sf_dir, "labels"), quality.in_training(F.col("__id")))
-    judged = docs.withColumn("__x", quality.feature_column(F.col("text")))
-    return judged.where(model.score(F.col("__x")) >= LEAST_SCORE).drop("__x")
+    quality.tune(spark)
+    rows = materialize(docs.withColumn("__x", quality.feature_column(F.col("text"))), "quality-features")  # with the rows, so that features are computed once
+    model = quality.fit(rows.select("doc_id", F.col("__x").alias("x")), table(spark, sf_dir, "labels"), quality.in_training(F.col("__id")))
+    return rows.where(model.score(F.col("__x")) >= LEAST_SCORE).drop("__x")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
