@@ -358,6 +358,7 @@ def test_archives(spark):
     whole = warc.read_archives(spark, manifest, size=1000).where("page_id = 2").orderBy("chunk").collect()
     assert [r["chunk"] for r in whole] == [0, 1, 2, 3, 4] and b"".join(bytes(r["data"]) for r in whole) == long.encode() and [r["last"] for r in whole] == [False] * 4 + [True]
     assert warc.read_archives(spark, warc.write_archives(pages.where("false"))).count() == 0
+    assert warc.read_archives(spark, warc.write_archives(pages.coalesce(1).where("page_id = 2").unionByName(pages.where("false")))).count() == 1
 
 
 def test_archives_of_large_ids_long_urls_and_chunks(spark, monkeypatch):

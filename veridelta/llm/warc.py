@@ -230,7 +230,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_data: bool = Tr
                         if held > 4 * size or len(rows) == 5000:
                             yield frame_of(rows)
                             rows, held = [], 0
-                yield frame_of(rows)
+                if rows:
+                    yield frame_of(rows)
 
     schema = "record_id string, chunk int, page_id long, record_type string, refers_to long, declared_digest string, declared_bytes long, seen_bytes long, digest string, last boolean" + (", data binary" if with_data else "")
     files = max(1, manifest.count())
