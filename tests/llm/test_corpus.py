@@ -280,6 +280,18 @@ def test_tiff_rows(spark, odd_docs, no_docs, monkeypatch):
     assert len({r["media_sha256"] for r in got if r["doc_id"] in (1, 2)}) == 1 and tiff.text_media(no_docs).count() == 0
     monkeypatch.setattr(tiff, "PAGE_ROWS", 4)
     files = spark.createDataFrame([(1, tiff.store_payload(bytes(range(256)) * 3)), (2, b"broken"), (3, None)], "doc_id long, media binary")
+    kinds = [tiff.layout(str(i).encode()) for i in range(600)]
+    assert {k["compression"] for k in kinds} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE} and {k.get("predictor", 1) for k in kinds} == {1, 2} and any(k.get("tile") for k in kinds)
+    good = tiff.store_payload(bytes(range(256)), compression=tiff.DEFLATE)
+    huge, empty = bytearray(good), bytearray(good)
+    at = int.from_bytes(good[4:8], "little") + 2
+    for k in range(int.from_bytes(good[at - 2 : at], "little")):
+        if good[at + 12 * k] == 0 or int.from_bytes(good[at + 12 * k : at + 12 * k + 2], "little") in (256, 257):
+            huge[at + 12 * k + 8 : at + 12 * k + 12] = (2**31 - 1).to_bytes(4, "little")
+        if int.from_bytes(good[at + 12 * k : at + 12 * k + 2], "little") == 273:
+            empty[at + 12 * k + 4 : at + 12 * k + 8] = bytes(4)
+    faulty = spark.createDataFrame([(1, bytes(huge)), (2, bytes(empty)), (3, bytes(good[:30]))], "doc_id long, media binary")
+    assert [(r["page"], bool(r["error"])) for r in tiff.read_pages(faulty).collect()] == [(-1, True)] * 3
     pages = tiff.read_pages(files).orderBy("doc_id", "page").collect()
     assert [(r["doc_id"], r["page"]) for r in pages] == [(1, 0), (1, 1), (1, 2), (2, -1)] and pages[-1]["error"]
     assert b"".join(bytes(r["pixels"]) for r in pages[:3]) == bytes(range(256)) * 3

@@ -24,6 +24,8 @@ PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 32
 FIELD_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 LZW_CLEAR, LZW_END = 256, 257
+#: Bytes of samples that a byte of packed data can stand for, and more than any of the codecs reach.
+MOST_PACKED = 4096
 #: Bytes in a row of a stored payload, rows in a strip, and rows in a page.
 ROW, STRIP_ROWS, PAGE_ROWS = 64, 256, 1 << 14
 
@@ -150,10 +152,15 @@ class Page:
 
     def one(self, tag: int, default: int | None = None) -> int:
         found = self.tags.get(tag)
-        if found is None and default is None:
+        if not found and default is None:
             raise ValueError(f"a page lacks tag {tag}")
         return found[0] if found else default
 
+    def many(self, tag: int) -> list[int]:
+        """All values of a tag that a page must have."""
+        self.one(tag)
+        return self.tags[tag]
+
     def samples(self) -> np.ndarray:
         """(rows, columns, samples) of the page."""
         width, length, per = self.one(WIDTH), self.one(LENGTH), self.one(SAMPLES, 1)
@@ -162,16 +169,18 @@ class Page:
         if bits not in (8, 16) or predictor not in (1, 2) or decoder is None or (per > 1 and self.one(PLANAR, 1) != 1):
             raise ValueError("a page of a kind that is not read")
         kind = np.dtype(np.uint8 if bits == 8 else np.uint16).newbyteorder(self.order)
-        out = np.zeros((length, width, per), kind.newbyteorder("="))
         if TILE_OFFSETS in self.tags:
             wide, high = self.one(TILE_WIDTH), self.one(TILE_LENGTH)
-            across = -(-width // wide)
-            parts = [(k // across * high, k % across * wide, high, wide) for k in range(len(self.tags[TILE_OFFSETS]))]
-            offsets, sizes = self.tags[TILE_OFFSETS], self.tags[TILE_BYTES]
+            offsets, sizes = self.many(TILE_OFFSETS), self.many(TILE_BYTES)
+            across = -(-width // max(1, wide))
+            parts, down = [(k // across * high, k % across * wide, high, wide) for k in range(len(offsets))] if across else [], len(offsets) // max(1, across)
         else:
             high = min(self.one(ROWS_PER_STRIP, length), length) or 1
-            offsets, sizes = self.tags[STRIP_OFFSETS], self.tags[STRIP_BYTES]
-            parts = [(k * high, 0, min(high, length - k * high), width) for k in range(len(offsets))]
+            offsets, sizes = self.many(STRIP_OFFSETS), self.many(STRIP_BYTES)
+            parts, down = [(k * high, 0, min(high, length - k * high), width) for k in range(len(offsets))], len(offsets)
+        if not (0 < length <= down * high and width > 0) or length * width * per * kind.itemsize > MOST_PACKED * (sum(sizes) + 1):
+            raise ValueError("a page is said to be larger than its data can be")
+        out = np.zeros((length, width, per), kind.newbyteorder("="))
         for (top, left, rows, columns), at, size in zip(parts, offsets, sizes, strict=True):
             raw = decoder(self.data[at : at + size])
             block = np.frombuffer(raw, kind, rows * columns * per).reshape(rows, columns, per).astype(out.dtype)
@@ -235,13 +244,21 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
-def store_payload(payload: bytes, compression: int = DEFLATE, predictor: int = 1) -> bytes:
-    """A payload of a multiple of ROW bytes as a TIFF: ROW samples to a row, PAGE_ROWS rows to a page."""
+def layout(payload: bytes) -> dict:
+    """Compression, predictor and tiles of a payload, by its checksum alone: every kind that is written, the slow ones seldom."""
+    kind = zlib.crc32(payload) % 64
+    if kind < 4:
+        return [{"compression": LZW}, {"compression": PACKBITS}, {"compression": LZW, "predictor": 2}, {"compression": PACKBITS, "tile": (16, ROW)}][kind]
+    return {"compression": DEFLATE, "predictor": 1 + kind % 8 // 7, "tile": (16, ROW) if kind % 16 == 4 else None}
+
+
+def store_payload(payload: bytes, **how) -> bytes:
+    """A payload of a multiple of ROW bytes as a TIFF: ROW samples to a row, PAGE_ROWS rows to a page; laid out as ``layout`` or ``how`` says."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    return write_tiff([image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)], compression, predictor)
+    return write_tiff([image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)], **(how or layout(payload)))
 
 
-def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", compression: int = DEFLATE, predictor: int = 1) -> DataFrame:
+def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as UTF-8, with zeros up to a positive multiple of ROW bytes, in a TIFF.
 
     A null text is empty: one row of zeros. Repeated rows stay; equal texts have equal media.
@@ -252,7 +269,7 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", com
     def media(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> bytes:
             raw = (t or "").encode("utf-8")
-            return store_payload(raw + b"\0" * (-len(raw) % ROW or (0 if raw else ROW)), compression, predictor)
+            return store_payload(raw + b"\0" * (-len(raw) % ROW or (0 if raw else ROW)), **how)
 
         return pd.Series([one(t) for t in texts])
 
@@ -273,18 +290,14 @@ def features_of(samples: np.ndarray) -> str:
     return f"mean={mean:.4f};std={spread:.4f};entropy={-(some * np.log2(some)).sum():.4f};zeros={p[0]:.4f}"
 
 
-def read_pages(media: DataFrame, key: str = "doc_id", column: str = "media", extra: list[str] | None = None) -> DataFrame:
-    """One row a page: (key, page, width, height, samples, bits, compression, predictor, pixels, feature, error[, extra]).
+_PAGE = [("page", "int"), ("width", "int"), ("height", "int"), ("samples", "int"), ("bits", "int"), ("compression", "int"), ("predictor", "int"), ("pixels", "binary"), ("feature", "string"), ("error", "string")]
 
-    ``pixels`` is the page's samples in rows, little-endian. A null file gives no page; one that can't be read gives a
-    row with the pages before the fault left out, page -1 and the error. Nothing fails for a damaged file.
-    """
-    tune(media.sparkSession)
-    extra = extra or []
-    names = ["page", "width", "height", "samples", "bits", "compression", "predictor", "pixels", "feature", "error"]
-    page = T.ArrayType(T.StructType([T.StructField(n, T.BinaryType() if n == "pixels" else T.StringType() if n in ("feature", "error") else T.IntegerType()) for n in names]))
 
-    @F.pandas_udf(page)
+def pages(media: Column) -> Column:
+    """An array of a file's pages, of structs as in ``read_pages``."""
+    names = [n for n, _ in _PAGE]
+
+    @F.pandas_udf("array<struct<" + ",".join(f"{n}:{t}" for n, t in _PAGE) + ">>")
     def walk(files: pd.Series) -> pd.Series:
         def one(data: bytes | None) -> list[dict]:
             if data is None:
@@ -296,12 +309,24 @@ def read_pages(media: DataFrame, key: str = "doc_id", column: str = "media", ext
                     pixels = got.astype(got.dtype.newbyteorder("<")).tobytes()
                     rows.append(dict(zip(names, (k, got.shape[1], got.shape[0], got.shape[2], p.one(BITS, 1), p.one(COMPRESSION, 1), p.one(PREDICTOR, 1), pixels, features_of(got), None), strict=True)))
                 return rows
-            except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
+            except (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError, OverflowError) as e:
                 return [dict.fromkeys(names) | {"page": -1, "error": str(e)}]
 
         return pd.Series([one(f) for f in files])
 
-    return media.select(F.col(key).alias(key), *extra, F.explode(walk(F.col(column))).alias("__p")).select(key, *extra, *[F.col(f"__p.{n}").alias(n) for n in names])
+    return walk(media)
+
+
+def read_pages(media: DataFrame, key: str = "doc_id", column: str = "media", extra: list[str] | None = None) -> DataFrame:
+    """One row a page: (key, page, width, height, samples, bits, compression, predictor, pixels, feature, error[, extra]).
+
+    ``pixels`` is the page's samples in rows, little-endian. A null file gives no page; one that can't be read gives a
+    row with the pages before the fault left out, page -1 and the error. Nothing fails for a damaged file: a page
+    that is said to be larger than its data can be is not read.
+    """
+    tune(media.sparkSession)
+    extra = extra or []
+    return media.select(F.col(key).alias(key), *extra, F.explode(pages(F.col(column))).alias("__p")).select(key, *extra, *[F.col(f"__p.{n}").alias(n) for n, _ in _PAGE])
 
 
 def payload_digest(pixels: Column) -> dict[str, Column]:
@@ -310,25 +335,16 @@ def payload_digest(pixels: Column) -> dict[str, Column]:
 
 
 def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores each text as a TIFF, reads its pages back from the stored bytes, and joins a file's pages in their order.
+    """Stores each text as a TIFF, reads its pages back from the stored bytes as ``read_pages`` does, and joins a file's pages in their order.
 
     One row out for each row in: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature, pages). A document's pages never leave its row, so nothing is shuffled.
     """
     stored = store_texts(docs, doc_id, text)
-
-    @F.pandas_udf(T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType()), T.StructField("pages", T.IntegerType())]))
-    def read(files: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data in files:
-            parts = [p.samples()[:, :, 0] for p in pages_of(bytes(data))]
-            whole = np.concatenate(parts) if len(parts) > 1 else parts[0]
-            rows.append((whole.tobytes(), features_of(whole), len(parts)))
-        return pd.DataFrame(rows, columns=["payload", "feature", "pages"])
-
-    got = stored.withColumn("back", read("media"))
-    back = payload_digest(F.col("back.payload"))
+    got = stored.withColumn("pages", pages(F.col("media")))
+    joined = F.when(F.size("pages") == 1, F.get("pages", F.lit(0))["pixels"]).otherwise(F.aggregate("pages", F.lit(b""), lambda whole, p: F.concat(whole, p["pixels"])))
+    got = got.withColumn("payload", joined)
     return got.select(
-        "doc_id", "n_bytes", *[c.alias(n) for n, c in back.items()], F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), F.col("back.feature").alias("feature"), F.col("back.pages").alias("pages"),
+        "doc_id", "n_bytes", *[c.alias(n) for n, c in payload_digest(F.col("payload")).items()], F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), F.array_join(F.transform("pages", lambda p: p["feature"]), "|").alias("feature"), F.size("pages").alias("pages"),
     )
