@@ -324,6 +324,19 @@ def test_neighbours_and_edges(spark):
     assert ann.search(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_that_hashing_does_not_reach(spark):
+    """Opposite vectors in a tiny table, and many scaled copies of one direction, whose ties go to the smaller ids."""
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [-1.0, 0.0, 0.1]), (2, [-1.0, 0.1, 0.0]), (3, [0.0, -1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for probes in (1, None):
+        got = {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(frame, F.col("vec_id") == 0, probes=probes).collect()}
+        assert got == plain_neighbours(rows)
+    rows = [(50, [1.0, 2.0, 3.0])] + [(100 - i, [float(x * (i + 2)) for x in (1, 2, 3)]) for i in range(30)] + [(7, [3.0, 2.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["rank"]: r["vec_id"] for r in ann.search(frame, F.col("vec_id") == 50, k=30, probes=10).collect()}
+    assert set(got.values()) == set(range(71, 101)) and len(got) == 30
+
+
 @here
 def test_recall(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in table(spark, "/root/testdata/sf0.01", "embeddings").collect()]

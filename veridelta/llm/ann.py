@@ -2,8 +2,9 @@
 
 Unit vectors are hashed by floors of Gaussian projections. A query visits, in each table, its own bucket and those
 perturbed by steps of one in some coordinates, in the order of their estimated success: the sum of squared distances
-from the query's projections to the borders crossed. Buckets are scored as blocks inside tasks; each block gives its
-best few per query, and the tables' candidates are merged and ranked by exact cosines in double precision.
+from the query's projections to the borders crossed. A table's buckets are dealt to parts; a query is sent once to each part with
+the list of buckets that it visits there, and tasks score buckets as blocks. Each block gives its best per query, and the
+tables' candidates are merged and ranked by exact cosines in double precision.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ TABLES, HASHES, WIDTH, SEED = 6, 5, 1.6, 7
 SAMPLE, TARGET = 200, 0.96
 #: Vectors of a bucket in one block; larger buckets are cut into blocks that are scored apart.
 BLOCK = 2048
-#: Candidates that a block keeps beyond those asked for, against rounding in its scores.
-SPARE = 2
+#: Parts that a table's buckets are dealt to.
+PARTS = 16
+#: Two scores that differ by no more may be in the wrong order by rounding, and are both kept.
+ROUNDING = 1e-9
 
 
 def perturbations() -> np.ndarray:
@@ -82,11 +85,12 @@ def by_dimension(frame: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def best(scores: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of each row's largest scores."""
+def best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``keep`` largest scores, and of all that come within ROUNDING of the last of them."""
     if scores.shape[1] <= keep:
-        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    return np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+        return np.nonzero(scores > -np.inf)
+    last = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
+    return np.nonzero((scores >= last - ROUNDING) & (scores > -np.inf))
 
 
 def calibrate(distinct: DataFrame, k: int) -> int:
@@ -94,7 +98,8 @@ def calibrate(distinct: DataFrame, k: int) -> int:
 
     The sample is the SAMPLE vectors with the smallest hashes. Their true neighbours come from one pass over all
     vectors, which keeps a few per task and query; then the place of each neighbour's bucket in its query's probing
-    order says how many probes would have found it.
+    order says how many probes would have found it. More than there are perturbed buckets means that hashing can't reach the
+    target on these vectors.
     """
     sample = distinct.orderBy(F.xxhash64("group"), "group").limit(SAMPLE).select("group", "v").collect()  # SAMPLE rows
     if not sample:
@@ -103,36 +108,34 @@ def calibrate(distinct: DataFrame, k: int) -> int:
     sent = distinct.sparkSession.sparkContext.broadcast(asked)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(p["q"].to_numpy(), unit(stack(p["qv"]))) for p in by_dimension(sent.value, "qv")]
+        parts = [(p["q"].to_numpy(), v := unit(stack(p["qv"])), probe_order(projections(v))[0]) for p in by_dimension(sent.value, "qv")]
         for frame in frames:
             for part in by_dimension(frame, "v") if len(frame) else ():
                 vectors, groups = unit(stack(part["v"])), part["group"].to_numpy()
                 there = bucket_code(np.floor(projections(vectors)).astype(np.int64))
-                for names, queries in parts:
+                for names, queries, codes in parts:
                     if queries.shape[1] != vectors.shape[1]:
                         continue
                     scores = queries @ vectors.T
-                    scores[names[:, None] == groups[None, :]] = -2
-                    top = best(scores, k)
-                    row = np.repeat(np.arange(len(names)), top.shape[1])
-                    col = top.ravel()
-                    codes, _ = probe_order(projections(queries))
+                    scores[names[:, None] == groups[None, :]] = -np.inf
+                    row, col = best(scores, k)
                     place = (codes[row] == there[col][:, :, None]).argmax(axis=-1) + np.where((codes[row] == there[col][:, :, None]).any(axis=-1), 0, codes.shape[-1])
-                    yield pd.DataFrame({"q": names[row], "score": scores[row, col], "place": place.min(axis=1)}).query("score > -2")
+                    yield pd.DataFrame({"q": names[row], "score": scores[row, col], "place": place.min(axis=1)})
 
     found = distinct.select("group", "v").mapInPandas(scan, "q long, score double, place long")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "place"))).where(f"r <= {k}")
     places = np.array([r["place"] for r in ranked.select("place").collect()])  # k * SAMPLE rows
     if not len(places):
         return 1
-    return min(3**HASHES, int(np.quantile(places, TARGET, method="higher")) + 1)
+    return int(np.quantile(places, TARGET, method="higher")) + 1
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by cosine among all other rows, ties to smaller ids.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part; nor do null ids. Vectors
-    of different dimensions are never neighbours. With fewer candidates than k, all that are found come out.
+    of different dimensions are never neighbours. With fewer candidates than k, all come out: a query whose buckets hold
+    too few is held against all vectors, block by block.
     Equal vectors are hashed and scored once, with their k + 1 smallest ids, so that a common vector doesn't fill
     a bucket. A row is no neighbour of itself, nor of another row with its id. ``probes`` in each table come from
     ``calibrate`` if not given.
@@ -146,9 +149,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     groups = materialize(groups, "distinct-vectors")
     asking = rows.where("asks").select("key", F.col("id").alias("query_id")).distinct()
     queries = groups.join(asking.select("key").distinct(), "key", "left_semi").select(F.col("group").alias("q"), F.col("v").alias("qv"))
-    near = score_buckets(place_index(groups), place_queries(queries, probes or calibrate(groups, k)), k + 1 + SPARE)
+    probes = probes or calibrate(groups, k)
+    if probes > 3**HASHES:  # probing can't reach the target here: every vector is in reach of every query, and recall is 1
+        index, visits = everywhere(groups, "group", "v", PARTS), everywhere(queries, "q", "qv", 1)
+    else:
+        index, visits = place_index(groups), place_queries(queries, probes)
+    near = materialize(score_buckets(index, visits, k + 1), "candidates")
+    found = near.groupBy("q").agg(F.countDistinct("group").alias("n"))
+    few = queries.join(found, "q", "left").where(F.coalesce("n", F.lit(0)) <= k).select("q", "qv")  # itself is one of those found
+    few = materialize(few, "short-of-candidates")
+    if not few.isEmpty():  # fewer than asked for were in reach: those queries are held against all vectors
+        near = near.unionByName(score_buckets(everywhere(groups, "group", "v", PARTS), everywhere(few, "q", "qv", 1), k + 1))
     pairs = near.groupBy("q", "group").agg(F.max("score").alias("score"))
-    top = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "group"))).where(F.col("r") <= k + 1 + SPARE).select("q", "group")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "group"))
+    last = pairs.withColumn("r", place).where(F.col("r") <= k + 1).groupBy("q").agg(F.min("score").alias("least"))
+    top = pairs.join(last, "q").where(F.col("score") >= F.col("least") - ROUNDING).select("q", "group")
     exact = top.join(queries, "q").join(groups.select("group", "v", "ids"), "group").select("q", "ids", cosine(F.col("qv"), F.col("v")).alias("score"))
     each = exact.select("q", F.explode("ids").alias("id"), "score")
     listed = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
@@ -170,58 +185,95 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm[0] * norm[1])
 
 
+def _schema(frame: DataFrame, name: str, vector: str) -> str:
+    return f"t long, part long, codes array<long>, {name} long, {vector} {dict(frame.dtypes)[vector]}"
+
+
 def place_index(groups: DataFrame) -> DataFrame:
-    """(t, code, group, v): every distinct vector in its bucket of each table; t also tells the dimension."""
+    """(t, part, codes, group, v): every distinct vector in its bucket of each table; t also tells the dimension, codes has that bucket alone."""
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for part in by_dimension(frame, "v") if len(frame) else ():
-                codes = bucket_code(np.floor(projections(unit(stack(part["v"])))).astype(np.int64))
-                base = TABLES * len(part["v"].iloc[0])
+            for some in by_dimension(frame, "v") if len(frame) else ():
+                codes = bucket_code(np.floor(projections(unit(stack(some["v"])))).astype(np.int64))
+                base = TABLES * len(some["v"].iloc[0])
                 for t in range(TABLES):
-                    yield pd.DataFrame({"t": base + t, "code": codes[:, t], "group": part["group"], "v": part["v"]})
+                    yield pd.DataFrame({"t": base + t, "part": part_of(codes[:, t]), "codes": list(codes[:, t : t + 1]), "group": some["group"], "v": some["v"]})
+
+    return groups.select("group", "v").mapInPandas(place, _schema(groups, "group", "v"))
 
-    kind = dict(groups.dtypes)["v"]
-    return groups.select("group", "v").mapInPandas(place, f"t long, code long, group long, v {kind}")
+
+def part_of(codes: np.ndarray) -> np.ndarray:
+    """The part that a bucket is dealt to."""
+    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % PARTS
 
 
 def place_queries(queries: DataFrame, probes: int) -> DataFrame:
-    """(t, code, q, qv): the buckets that a query visits in each table, the most promising ``probes`` of them."""
+    """(t, part, codes, q, qv): the parts that hold buckets that a query visits in each table, with the most promising ``probes`` buckets."""
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in by_dimension(frame, "qv") if len(frame) else ():
                 for i in range(0, len(part), 256):
-                    some = part.iloc[i : i + 256]
-                    codes = probe_order(projections(unit(stack(some["qv"]))))[0][:, :, :probes]
-                    base, each = TABLES * len(some["qv"].iloc[0]), codes.shape[2]
+                    some = part.iloc[i : i + 256].reset_index(drop=True)
+                    codes = np.sort(probe_order(projections(unit(stack(some["qv"]))))[0][:, :, :probes], axis=-1)
+                    base, there = TABLES * len(some["qv"].iloc[0]), part_of(codes)
                     for t in range(TABLES):
-                        again = some.loc[some.index.repeat(each)]
-                        yield pd.DataFrame({"t": base + t, "code": codes[:, t].ravel(), "q": again["q"].to_numpy(), "qv": again["qv"].to_numpy()})
+                        for p in range(PARTS):
+                            visited = there[:, t] == p
+                            mine = np.flatnonzero(visited.any(axis=1))
+                            if len(mine):
+                                yield pd.DataFrame({"t": base + t, "part": p, "codes": [codes[r, t][visited[r]] for r in mine], "q": some["q"].to_numpy()[mine], "qv": some["qv"].to_numpy()[mine]})
+
+    return queries.mapInPandas(place, _schema(queries, "q", "qv"))
 
-    kind = dict(queries.dtypes)["qv"]
-    return queries.mapInPandas(place, f"t long, code long, q long, qv {kind}")
+
+def everywhere(rows: DataFrame, name: str, vector: str, parts: int) -> DataFrame:
+    """Rows of one bucket for each dimension, which all queries visit; vectors are dealt to several parts, queries go to all."""
+    part = F.pmod(F.xxhash64(name), F.lit(PARTS)) if parts > 1 else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+    return rows.select((-F.size(vector) - 1).cast("long").alias("t"), part.alias("part"), F.array(F.lit(0).cast("long")).alias("codes"), name, vector)
 
 
 def score_buckets(index: DataFrame, visits: DataFrame, keep: int) -> DataFrame:
-    """(q, group, score): for each visit, the best ``keep`` of each block of the bucket.
+    """(q, group, score): for each query and block of a part, the best ``keep`` of the vectors in buckets that it visits, and those all but equal to the last.
 
-    A bucket of more than BLOCK vectors, or visits, is cut into blocks of each; every pair of blocks is a task's group.
+    A part of more than BLOCK vectors, or visits, is cut into blocks of each; every pair of blocks is a task's group.
     """
-    vectors = index.groupBy("t", "code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nv"))
-    asked = visits.groupBy("t", "code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq"))
-    sizes = vectors.join(asked, ["t", "code"])
+    vectors = index.groupBy("t", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nv"))
+    asked = visits.groupBy("t", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq"))
+    sizes = materialize(vectors.join(asked, ["t", "part"]), "part-sizes")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(sizes, ["t", "code"]).select("t", "code", "group", "v", F.pmod(F.xxhash64("group"), F.col("nv")).cast("int").alias("bv"), every("nq").alias("bq"))
-    right = visits.join(sizes, ["t", "code"]).select("t", "code", "q", "qv", F.pmod(F.xxhash64("q"), F.col("nq")).cast("int").alias("bq"), every("nv").alias("bv"))
+    left = index.join(sizes, ["t", "part"]).select("t", "part", F.get("codes", F.lit(0)).alias("code"), "group", "v", F.pmod(F.xxhash64("group"), F.col("nv")).cast("int").alias("bv"), every("nq").alias("bq"))
+    right = visits.join(sizes, ["t", "part"]).select("t", "part", "codes", "q", "qv", F.pmod(F.xxhash64("q"), F.col("nq")).cast("int").alias("bq"), every("nv").alias("bv"))
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"q": [], "group": [], "score": []}).astype({"q": "int64", "group": "int64"})
         if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "group": [], "score": []}).astype({"q": "int64", "group": "int64"})
-        scores = unit(stack(b["qv"])) @ unit(stack(a["v"])).T
-        top = best(scores, keep)
-        row = np.repeat(np.arange(len(b)), top.shape[1])
-        return pd.DataFrame({"q": b["q"].to_numpy()[row], "group": a["group"].to_numpy()[top.ravel()], "score": scores[row, top.ravel()]})
-
-    by = ["t", "code", "bv", "bq"]
+            return nothing
+        a = a.sort_values("code", kind="stable")
+        code, group, vectors = a["code"].to_numpy(), a["group"].to_numpy(), unit(stack(a["v"]))
+        queries, names = unit(stack(b["qv"])), b["q"].to_numpy()
+        visit, who = np.concatenate(b["codes"].to_numpy()), np.repeat(np.arange(len(b)), b["codes"].map(len).to_numpy())
+        order = np.argsort(visit, kind="stable")
+        visit, who = visit[order], who[order]
+        found = []
+        for c in np.unique(code):
+            asking = who[np.searchsorted(visit, c) : np.searchsorted(visit, c, side="right")]
+            s, e = np.searchsorted(code, c), np.searchsorted(code, c, side="right")
+            if len(asking):
+                scores = queries[asking] @ vectors[s:e].T
+                row, col = best(scores, keep)
+                found.append((asking[row], s + col, scores[row, col]))
+        if not found:
+            return nothing
+        who, at, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-value, who))  # the best of each query over its buckets in the block
+        who, at, value = who[order], at[order], value[order]
+        first = np.searchsorted(who, who)
+        place = np.arange(len(who)) - first
+        last = value[np.minimum(first + keep - 1, np.searchsorted(who, who, side="right") - 1)]
+        kept = (place < keep) | (value >= last - ROUNDING)
+        return pd.DataFrame({"q": names[who[kept]], "group": group[at[kept]], "score": value[kept]})
+
+    by = ["t", "part", "bv", "bq"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(score, "q long, group long, score double")
