@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veridelta import contract
 from veridelta.contract import EntitlementDenied
-from veridelta.operators import actions, adjudicate, graph, ledger, localise, methods, monitor, predicate, proposer, reconcile, signal, topics
+from veridelta.operators import actions, adjudicate, graph, investigations, ledger, localise, methods, monitor, predicate, proposer, reconcile, signal, topics
 from veridelta.sources import files, generate
 
 
@@ -71,6 +71,15 @@ def test_from_sources_to_verdict(spark, world):
     got = {r["hypothesis_id"]: r for r in adjudicate.verdicts(panel).collect()}
     assert got["h_rep_attrition"]["verdict"] == "SURVIVED" and got["h_rep_attrition"]["did_effect"] == pytest.approx(math.log(0.05), abs=0.02)
     assert got["h_shipping_delay"]["verdict"] in ("KILLED", "INCONCLUSIVE")
+    registry = [investigations.Investigation("West", "revenue", "ops_manager_west", windows, (center, reps)), investigations.Investigation("East", "revenue", "nobody", windows, ({"no": "claim"},))]
+    gated, verdicts = investigations.run(spark, tall, registry)  # the East didn't pass: its claim isn't even read
+    assert {r["hypothesis_id"]: r["verdict"] for r in verdicts.collect()} == {h: r["verdict"] for h, r in got.items()}
+    table = investigations.registry_table(spark, registry[:1])
+    assert [tuple(r) for r in investigations.first_survivors(verdicts, table).collect()] == [("West", "revenue", "h_rep_attrition")]
+    assert {r["region"]: r["n_claims"] for r in investigations.attach(gated, table).collect()} == {"West": 2, "East": None, "Central": None}
+    assert investigations.run(spark, tall.where("region = 'East'"), registry)[1] is None
+    with pytest.raises(contract.EntitlementDenied):
+        predicate.compile_dose("East", ["Search"], 1, 4, "ops_manager_west")
 
 
 def test_clusters(spark):
@@ -123,6 +132,14 @@ def test_drift(spark):
     assert got["l1_posteriors"] == "STABLE" and got["did_effects"] == "SIGNIFICANT_DRIFT" == got["overall"] and got["did_mdes"] == "UNKNOWN"
     few = {r["metric"]: r["verdict"] for r in monitor.assess_drift(snaps.where("run_id in ('r1', 'now')"), "now").collect()}
     assert set(few.values()) == {"UNKNOWN"}
+    rows = [(f"r{i}", [0.5] * 4, [2.0], None, 0.5) for i in range(6)] + [("now", [0.5] * 4, [3.0], None, 0.25)]
+    snaps = spark.createDataFrame(rows, "run_id string, l1_posteriors array<double>, did_effects array<double>, did_mdes array<double>, l1_gate_pass_rate double")
+    got = {r["metric"]: r for r in monitor.assess_drift(snaps, "now").collect()}  # constants: unmoved and moved
+    assert got["l1_posteriors"]["psi"] == 0 and got["l1_posteriors"]["verdict"] == "STABLE" and (got["l1_posteriors"]["mean_baseline"], got["did_effects"]["mean_current"]) == (0.5, 3.0)
+    assert math.isinf(got["did_effects"]["psi"]) and got["did_effects"]["verdict"] == "SIGNIFICANT_DRIFT" == got["overall"]["verdict"]
+    unknown = snaps.withColumn("l1_posteriors", F.lit(None).cast("array<double>")).withColumn("did_effects", F.lit(None).cast("array<double>"))
+    assert {r["metric"]: r["verdict"] for r in monitor.assess_drift(unknown, "now").collect()} == {"l1_posteriors": "UNKNOWN", "did_effects": "UNKNOWN", "did_mdes": "UNKNOWN", "overall": "STABLE"}
+    assert tuple(monitor.gate_rates(snaps, "now").first()) == (0.5, 0.25)
 
 
 def test_calibration(spark):

@@ -65,3 +65,10 @@ def normal_two_sided(z: Column) -> Column:
     total = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step, lambda s: s["total"])
     density = F.exp(-a * a / 2) / F.sqrt(2 * F.pi())
     return F.when(z.isNull() | F.isnan(z), F.lit(None).cast("double")).when(a > 12, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 * density * total))
+
+
+def power_law(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """Aggregates (exponent, scale, r2) of y = scale * x ** exponent by least squares on logarithms; points that aren't positive take no part."""
+    both = (x > 0) & (y > 0)
+    a, b = F.when(both, F.log(y)), F.when(both, F.log(x))
+    return F.regr_slope(a, b), F.exp(F.regr_intercept(a, b)), F.regr_r2(a, b)

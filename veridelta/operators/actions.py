@@ -65,6 +65,11 @@ def survivors(verdicts: DataFrame, region: str, kpi: str) -> DataFrame:
     return tagged.where((F.col("region") == region) & (F.col("kpi") == kpi) & (F.col("verdict") == "SURVIVED"))
 
 
+def primaries(rows: DataFrame, by: str, p: str = "p_bh", name: str = "hypothesis_id") -> DataFrame:
+    """(by, name): of each group the row with the smallest p, a missing one counting as 1, of equals the smallest name."""
+    return rows.groupBy(by).agg(F.min_by(name, F.struct(F.coalesce(F.col(p), F.lit(1.0)).alias("p"), F.col(name).alias("name"))).alias(name))
+
+
 def primary(rows: DataFrame) -> dict | None:
     """The survivor with the smallest adjusted p; a missing one counts as 1."""
     found = rows.orderBy(F.coalesce("p_bh", F.lit(1.0)), "hypothesis_id").first()

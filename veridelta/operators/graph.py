@@ -72,6 +72,11 @@ def blast_radius(edges: DataFrame, node: str, max_depth: int = 3) -> DataFrame:
     return seen.where("hops > 0")
 
 
+def by_hops(reached: DataFrame) -> DataFrame:
+    """What a node reaches, nearest first."""
+    return reached.orderBy("hops", "node")
+
+
 def shared_mechanism(hypotheses: DataFrame, hypothesis: str) -> DataFrame:
     """(hypothesis_id, same_dim, same_archetype): others that test the same dimension or in the same way."""
     own = hypotheses.where(F.col("hypothesis_id") == hypothesis).select(F.col("dim").alias("__d"), F.col("test_archetype").alias("__a"))

@@ -93,7 +93,9 @@ class Ledger:
             raise contracts.EntitlementDenied(reason)
 
     def snapshot(self, run_id: str, gated: DataFrame, verdicts: DataFrame) -> None:
-        """A run's posteriors, absolute effects and detectable effects, and the share of series that passed the gate."""
+        """A run's posteriors, the share of series that passed the gate, and absolute and detectable effects of the claims that panels tested (placebo, specificity)."""
+        if "test_archetype" in verdicts.columns:
+            verdicts = verdicts.where(F.col("test_archetype").isin("placebo", "specificity"))
         left = gated.agg(F.collect_list("confidence").alias("l1_posteriors"), F.avg(F.col("gate_passed").cast("double")).alias("l1_gate_pass_rate"))
         right = verdicts.agg(F.collect_list(F.abs("did_effect")).alias("did_effects"), F.collect_list("mde").alias("did_mdes"))  # one number for each series and hypothesis of a run
         self.append("run_snapshots", left.join(right, F.lit(True)).withColumn("run_id", F.lit(run_id)))
@@ -102,6 +104,10 @@ class Ledger:
         passed = gated.where("gate_passed")
         self.append("gated_movements", passed.select(F.lit(run_id).alias("run_id"), "kpi", "region", F.col("tau").alias("week"), F.col("impact_pct").alias("business_impact_pct"), "confidence"))
 
+    def alerts(self, run_id: str, routed: DataFrame) -> None:
+        """Appends routed alerts (kpi, region, week, business_impact_pct, confidence, role, channel, urgency[, message]), all of them simulated."""
+        self.append("alerts", routed.withColumn("run_id", F.lit(run_id)).withColumn("simulated", F.lit(True)))
+
     def deliver(self, run_id: str, role: str, channel: str, urgency: str, message: str, contract: dict = contracts.CONTRACT) -> None:
         """A simulated delivery; 280 characters of its message are kept."""
         persona = contract["entitlements"].get(role, {}).get("persona")
@@ -158,6 +164,22 @@ def with_fresh_ids(old: DataFrame, new: DataFrame, key: str = "hypothesis_id") -
     return rows.withColumn(key, F.when(count > 1, F.concat(F.col(key), F.lit("_llm"), count.cast("string"))).otherwise(F.col(key))).drop("__place", "__stem", "__last")
 
 
+def tail(rows: DataFrame, n: int = 200) -> DataFrame:
+    """The last ``n`` rows of a log, latest first."""
+    return rows.orderBy(F.desc("seq")).limit(n)
+
+
+def recent_telemetry(rows: DataFrame, n: int = 200) -> DataFrame:
+    """The last ``n`` rows of the telemetry, latest first, with in_latest_run: whether they belong to the pipeline run that was written last."""
+    newest = rows.where(session_kind("run_id") == "pipeline").agg(F.max_by("run_id", "seq").alias("__run"))
+    return tail(rows, n).join(newest, F.lit(True)).withColumn("in_latest_run", F.coalesce(F.col("run_id") == F.col("__run"), F.lit(False))).drop("__run")
+
+
+def with_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose column begins with a prefix, such as the adversarial runs of a log."""
+    return rows.where(F.col(column).startswith(prefix))
+
+
 def latest_verdicts(ledger: DataFrame) -> DataFrame:
     """The last row of each hypothesis."""
     columns = [c for c in ledger.columns if c != "hypothesis_id"]

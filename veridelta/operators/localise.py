@@ -142,6 +142,11 @@ def rep_shares(reps: DataFrame, pre_months: list[str], post_months: list[str], l
     return per.select("region", "rep_id", "delta", F.when(F.col("loss") < 0, F.col("delta") / F.col("loss")).otherwise(0.0).alias("share"))
 
 
+def ascending(contributions: DataFrame, value: str = "delta") -> DataFrame:
+    """Contributions in order, the largest loss first."""
+    return contributions.orderBy(value, *[c for c in contributions.columns if c != value])
+
+
 def region_loss(sales: DataFrame, pre_months: list[str], post_months: list[str]) -> DataFrame:
     """(region, loss): mean monthly revenue over the later months less that over the earlier."""
     monthly = sales.where(F.col("month").isin(pre_months + post_months)).groupBy("region", "month").agg(F.sum("gross_revenue").cast("double").alias("v"))

@@ -69,8 +69,15 @@ def psi_by_key(pairs: DataFrame, keys: list[str], buckets: int = 10) -> DataFram
     return spread.unionByName(constant)
 
 
+def sides(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Distinct rows of both tables with a side: both, only_before or only_after."""
+    seen = before.distinct().withColumn("__b", F.lit(1)).unionByName(after.distinct().withColumn("__b", F.lit(2)))
+    which = F.when(F.sum("__b") == 3, "both").when(F.sum("__b") == 1, "only_before").otherwise("only_after")
+    return seen.groupBy(*before.columns).agg(which.alias("side"))
+
+
 def assess_drift(snapshots: DataFrame, run_id: str) -> DataFrame:
-    """(metric, psi, verdict, n_baseline, n_current) of a run against all before it, with an overall row of the worst verdict.
+    """(metric, psi, verdict, n_baseline, n_current, mean_baseline, mean_current) of a run against all others, with an overall row of the worst verdict.
 
     ``snapshots`` has run_id, created_at and the arrays l1_posteriors, did_effects and did_mdes. With fewer than five
     earlier runs every verdict is UNKNOWN; with enough, unknown metrics, even all of them, don't keep the overall one from being STABLE.
@@ -83,15 +90,22 @@ def assess_drift(snapshots: DataFrame, run_id: str) -> DataFrame:
     enough = snapshots.where(F.col("run_id") != run_id).select("run_id").distinct().agg((F.count("*") >= MIN_RUNS).alias("enough"))
     pairs = tall.withColumn("is_current", F.col("run_id") == run_id)
     found = psi_by_key(pairs, ["metric"])
-    every = snapshots.sparkSession.createDataFrame([(m,) for m in metrics], "metric string").join(found, "metric", "left").join(enough, F.lit(True))
-    each = every.select("metric", F.when(F.col("enough"), F.col("psi")).alias("psi"), "n_baseline", "n_current").withColumn("verdict", psi_verdict_column(F.col("psi")))
+    means = pairs.groupBy("metric").agg(F.avg(F.when(~F.col("is_current"), F.col("value"))).alias("mean_baseline"), F.avg(F.when(F.col("is_current"), F.col("value"))).alias("mean_current"))
+    every = snapshots.sparkSession.createDataFrame([(m,) for m in metrics], "metric string").join(found, "metric", "left").join(means, "metric", "left").join(enough, F.lit(True))
+    each = every.select("metric", F.when(F.col("enough"), F.col("psi")).alias("psi"), "n_baseline", "n_current", "mean_baseline", "mean_current").withColumn("verdict", psi_verdict_column(F.col("psi")))
     rank = F.when(F.col("verdict") == "SIGNIFICANT_DRIFT", 3).when(F.col("verdict") == "MODERATE_SHIFT", 2).when(F.col("verdict") == "STABLE", 1).otherwise(0)
     overall = each.join(enough, F.lit(True)).agg(F.max_by("verdict", rank).alias("__worst"), F.max("psi").alias("psi"), F.first("enough").alias("enough"))
     overall = overall.withColumn("verdict", F.when(F.col("enough") & (F.col("__worst") == "UNKNOWN"), "STABLE").otherwise(F.col("__worst")))
-    overall = overall.select(F.lit("overall").alias("metric"), "psi", F.lit(None).cast("long").alias("n_baseline"), F.lit(None).cast("long").alias("n_current"), "verdict")
+    overall = overall.select(F.lit("overall").alias("metric"), "psi", *[F.lit(None).cast(t).alias(c) for c, t in (("n_baseline", "long"), ("n_current", "long"), ("mean_baseline", "double"), ("mean_current", "double"))], "verdict")
     return each.unionByName(overall)
 
 
+def gate_rates(snapshots: DataFrame, run_id: str) -> DataFrame:
+    """(rate_baseline, rate_current): the share of series that passed the gate, on average over all other runs, and in this one."""
+    mine = F.col("run_id") == run_id
+    return snapshots.agg(F.avg(F.when(~mine, F.col("l1_gate_pass_rate"))).alias("rate_baseline"), F.avg(F.when(mine, F.col("l1_gate_pass_rate"))).alias("rate_current"))
+
+
 def brier(predictions: DataFrame) -> DataFrame:
     """(n, brier) of (predicted, outcome) rows."""
     return predictions.agg(F.count("*").alias("n"), F.avg((F.col("predicted") - F.col("outcome")) ** 2).alias("brier"))

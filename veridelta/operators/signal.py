@@ -134,6 +134,24 @@ def gate(results: DataFrame, kpis: DataFrame) -> DataFrame:
     return out.withColumn("narrative", told).drop("pct_threshold", "abs_threshold")
 
 
+def same_events(movements: DataFrame) -> DataFrame:
+    """(kpi, region, same_event_as): the other KPIs of the region that moved within two calendar weeks; movements without any are left out."""
+    other = movements.select(F.col("region").alias("__r"), F.col("kpi").alias("__k"), F.col("calendar_week").alias("__w"))
+    near = (F.col("region") == F.col("__r")) & (F.col("kpi") != F.col("__k")) & (F.abs(F.col("calendar_week") - F.col("__w")) <= SAME_EVENT)
+    return movements.join(other, near).groupBy("kpi", "region").agg(F.array_sort(F.collect_list("__k")).alias("same_event_as"))
+
+
+def impact_at(series: DataFrame, period: int) -> DataFrame:
+    """(kpi, region, impact_pct, impact_abs) of each series from a period on; points are counted as they are, periods without one aren't."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("period")
+        share, amount = impact(frame["value"].to_numpy(np.float64), 1 + int((frame["period"] < period).sum()))
+        return pd.DataFrame([(frame["kpi"].iloc[0], frame["region"].iloc[0], share, amount)], columns=["kpi", "region", "impact_pct", "impact_abs"])
+
+    return series.groupBy("kpi", "region").applyInPandas(one, "kpi string, region string, impact_pct double, impact_abs double")
+
+
 def prioritize(gated: DataFrame) -> DataFrame:
     """Ranks what passed the gate by |impact| times confidence, and lists what else moved in the same region within two weeks.
 
@@ -142,7 +160,5 @@ def prioritize(gated: DataFrame) -> DataFrame:
     score = F.abs(half_even(F.col("impact_abs"), 2)) * half_even(F.col("confidence"), 4)
     passed = gated.where("gate_passed").withColumn("priority_score", half_even(score, 2))
     ranked = passed.withColumn("priority_rank", F.row_number().over(Window.orderBy(F.desc("priority_score"), "kpi", "region")))
-    other = passed.select(F.col("region").alias("__r"), F.col("kpi").alias("__k"), F.col("calendar_week").alias("__w"))
-    near = (F.col("region") == F.col("__r")) & (F.col("kpi") != F.col("__k")) & (F.abs(F.col("calendar_week") - F.col("__w")) <= SAME_EVENT)
-    same = passed.join(other, near).groupBy("kpi", "region").agg(F.array_sort(F.collect_list("__k")).alias("same_event_as"))
+    same = same_events(passed)
     return ranked.join(same, ["kpi", "region"], "left").withColumn("same_event_as", F.coalesce("same_event_as", F.array().cast("array<string>")))

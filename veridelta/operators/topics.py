@@ -115,6 +115,12 @@ def cluster_texts(rows: DataFrame, group: str, key: str, embedding: str, thresho
     return clean.select("g", "k", "vh").join(named, ["g", "vh"]).select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
 
 
+def matching(rows: DataFrame, terms: str, keywords: list[str]) -> DataFrame:
+    """Rows whose array of terms holds one that contains one of the keywords, whatever the case."""
+    wanted = [k.lower() for k in keywords]
+    return rows.where(F.exists(terms, lambda t: F.array_contains(F.transform(F.array(*[F.lit(k) for k in wanted]), lambda k: F.contains(F.lower(t), k)), True)))
+
+
 def terms_of(texts: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
     """(key, term, n): words of two or more word characters, without stop words, and pairs of those that are left neighbours."""
     stops = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words

@@ -233,9 +233,9 @@ select role, region, dim, list_contains(regions, region) and (grantless or rep =
 def entitlement_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every role, region and dimension: the checks that run before a plan, as one table; the given regions are in no role's scope."""
     places = table(spark, sf_dir, "region").select(F.col("r_name").alias("region")).unionByName(spark.createDataFrame([("West",), ("East",), ("Central",)], "region string"))
-    dims = spark.createDataFrame([(d, v.grant is None) for d, v in contract.DIMENSIONS.items()], "dim string, grantless boolean")
-    grid = contract.role_table(spark).join(places, F.lit(True)).join(dims, F.lit(True))  # roles x regions x dimensions: tens of rows
-    return grid.select("role", "region", "dim", (F.array_contains("regions", F.col("region")) & (F.col("grantless") | (F.col("rep_detail") == "allow"))).alias("allowed"))
+    regions = sorted(r["region"] for r in places.collect())  # eight names
+    grid = [(role, region, dim, contract.allowed(contract.check_entitlement, role, region, dim)[0]) for role in contract.CONTRACT["entitlements"] for region in regions for dim in contract.DIMENSIONS]
+    return spark.createDataFrame(grid, "role string, region string, dim string, allowed boolean")
 
 
 @register("domain_grid", f"""
@@ -245,6 +245,6 @@ select role, kpi, list_contains(domains, domain) as allowed, case when list_cont
 """)
 def domain_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which KPI domains a role may query, and how many fact rows that opens to it."""
-    grid = contract.role_table(spark).join(contract.kpi_table(spark), F.lit(True)).join(table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_rows")), F.lit(True))
-    ok = F.array_contains("domains", F.col("domain"))
-    return grid.select("role", "kpi", ok.alias("allowed"), F.when(ok, F.col("n_rows")).alias("visible_rows"))
+    rows = [(role, kpi, contract.allowed(contract.check_domain, role, kpi)[0]) for role in contract.CONTRACT["entitlements"] for kpi in contract.CONTRACT["kpis"]]
+    grid = spark.createDataFrame(rows, "role string, kpi string, allowed boolean").join(table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_rows")), F.lit(True))
+    return grid.select("role", "kpi", "allowed", F.when(F.col("allowed"), F.col("n_rows")).alias("visible_rows"))

@@ -92,6 +92,12 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("kpi", "region", "tau", "statistical_materiality", "business_materiality", "gate_passed")
 
 
+@register("gate_all")
+def gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both materialities and the gate of every series, weekly ones too; held against a plain fold in the tests."""
+    return gated(spark, sf_dir).select("kpi", "region", "period_unit", "tau", "statistical_materiality", "business_materiality", "gate_passed")
+
+
 @register("priority")
 def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every series' movement ranked, with the recency condition lifted so that there is something to rank."""
@@ -112,7 +118,8 @@ def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = reconcile.region_weeks(binding.sales(spark, sf_dir)).where(F.col("week") < binding.WEEKS)
     value = F.col("revenue").cast("double")
     both = weeks.groupBy("region").agg(F.avg(F.when(F.col("week").between(294, 299), value)).alias("base"), F.avg(F.when(F.col("week") >= 300, value)).alias("recent"))
-    return both.select("region", F.round("base", 4).alias("base"), F.round("recent", 4).alias("recent"), F.round((F.col("recent") - F.col("base")) / F.col("base"), 6).alias("impact_pct"))
+    found = signal.impact_at(weeks.where("week >= 294").select(F.lit("revenue").alias("kpi"), "region", F.col("week").alias("period"), value.alias("value")), 300)
+    return both.join(found, "region").select("region", F.round("base", 4).alias("base"), F.round("recent", 4).alias("recent"), F.round("impact_pct", 6).alias("impact_pct"))
 
 
 @register("same_event", f"""
@@ -125,9 +132,8 @@ def same_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peak weeks of each category in a region, and the other categories that peak within two weeks."""
     units = binding.sales(spark, sf_dir).groupBy("region", F.col("product_category").alias("kpi"), "week").agg(F.sum("units").alias("u"))
     peak = units.groupBy("region", "kpi").agg(F.max_by("week", F.struct("u", -F.col("week"))).alias("week"))
-    other = peak.select(F.col("region").alias("r"), F.col("kpi").alias("k"), F.col("week").alias("w"))
-    near = (F.col("region") == F.col("r")) & (F.col("kpi") != F.col("k")) & (F.abs(F.col("week") - F.col("w")) <= signal.SAME_EVENT)
-    return peak.join(other, near, "left").groupBy("region", "kpi", "week").agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("same_event_as")).withColumn("same_event_as", F.when(F.col("same_event_as") != "", F.col("same_event_as")))
+    found = signal.same_events(peak.withColumnRenamed("week", "calendar_week"))
+    return peak.join(found, ["region", "kpi"], "left").withColumn("same_event_as", F.array_join("same_event_as", ","))
 
 
 @register("bridge_pvm", f"""
