@@ -26,25 +26,34 @@ def logged(panel: DataFrame) -> DataFrame:
 def did(panel: DataFrame) -> DataFrame:
     """(hypothesis_id, n_treatment_units, n_control_units, effect, se, z, p, clustered) of log values on post and treat x post with unit effects.
 
-    Unit effects are removed by demeaning (Frisch, Waugh and Lovell), which leaves two normal equations of sums. Errors are
-    clustered by unit with four units on both sides, else HC1. Effect, error and p are null where nothing identifies them.
+    Unit effects are removed by demeaning (Frisch, Waugh and Lovell). Post and treatment take two values, so all sums follow from
+    each unit's counts, means and squares before and after, which one aggregate gives: the panel is read and shuffled once, and the rest works on
+    a row for each unit. Errors are clustered by unit with four units on both sides, else HC1. Effect, error and p are null where nothing
+    identifies them.
     """
-    rows = logged(panel).withColumn("x1", F.col("post").cast("double")).withColumn("x2", (F.col("treat") * F.col("post")).cast("double"))
-    unit = Window.partitionBy(*H, "unit", "treat")
-    rows = rows.select(*H, "unit", "treat", *[(F.col(c) - F.avg(c).over(unit)).alias(c) for c in ("y", "x1", "x2")])
-    s = lambda e, n: F.sum(e).alias(n)
     c = F.col
-    sums = rows.groupBy(*H).agg(
-        s(c("x1") * c("x1"), "a11"), s(c("x1") * c("x2"), "a12"), s(c("x2") * c("x2"), "a22"), s(c("x1") * c("y"), "b1"), s(c("x2") * c("y"), "b2"), F.count("*").alias("n"),
-        F.countDistinct(F.when(c("treat") == 1, c("unit"))).alias("n_treatment_units"), F.countDistinct(F.when(c("treat") == 0, c("unit"))).alias("n_control_units"),
-    )
+    after, y = c("post") == 1, c("y")
+    each = lambda when: (F.coalesce(F.avg(F.when(when, y)), F.lit(0.0)), F.coalesce(F.var_pop(F.when(when, y)), F.lit(0.0)))
+    (mean1, var1), (mean0, var0) = each(after), each(~after)
+    units = logged(panel).groupBy(*H, "unit", "treat").agg(F.count("*").alias("m"), F.count(F.when(after, 1)).alias("s"), mean1.alias("y1"), mean0.alias("y0"), var1.alias("v1"), var0.alias("v0"))
+    units = units.withColumn("xx", c("s") * (c("m") - c("s")) / c("m")).withColumn("xy", c("xx") * (c("y1") - c("y0")))
+    whole = Window.partitionBy(*H)  # units of a hypothesis
+    treated = lambda e: F.when(c("treat") == 1, e).otherwise(0.0)
+    total = lambda e, n: F.sum(e).over(whole).alias(n)
+    units = units.select("*", total(c("xx"), "a11"), total(treated(c("xx")), "a12"), total(c("xy"), "b1"), total(treated(c("xy")), "b2")).withColumn("a22", c("a12"))
     det = c("a11") * c("a22") - c("a12") * c("a12")
-    solved = sums.withColumn("det", F.when(det > 1e-9, det)).withColumn("units", c("n_treatment_units") + c("n_control_units"))
-    solved = solved.withColumn("k1", (c("a22") * c("b1") - c("a12") * c("b2")) / c("det")).withColumn("k2", (c("a11") * c("b2") - c("a12") * c("b1")) / c("det"))
-    error = rows.join(solved.select(*H, "k1", "k2"), H).withColumn("e", c("y") - c("k1") * c("x1") - c("k2") * c("x2"))
-    by_unit = error.groupBy(*H, "treat", "unit").agg(s(c("x1") * c("e"), "g1"), s(c("x2") * c("e"), "g2"), s(c("x1") ** 2 * c("e") ** 2, "h11"), s(c("x1") * c("x2") * c("e") ** 2, "h12"), s(c("x2") ** 2 * c("e") ** 2, "h22"))
-    meat = by_unit.groupBy(*H).agg(s(c("g1") ** 2, "c11"), s(c("g1") * c("g2"), "c12"), s(c("g2") ** 2, "c22"), *[F.sum(f"h{i}").alias(f"h{i}") for i in ("11", "12", "22")])
-    all_ = solved.join(meat, H).withColumn("clustered", (c("n_treatment_units") >= CLUSTERS) & (c("n_control_units") >= CLUSTERS))
+    units = units.withColumn("det", F.when(det > 1e-9, det))
+    units = units.withColumn("k1", (c("a22") * c("b1") - c("a12") * c("b2")) / c("det")).withColumn("k2", (c("a11") * c("b2") - c("a12") * c("b1")) / c("det"))
+    share, slope = c("s") / c("m"), c("k1") + treated(c("k2"))
+    middle = share * c("y1") + (1 - share) * c("y0")
+    left = c("v1") + (c("y1") - middle - slope * (1 - share)) ** 2, c("v0") + (c("y0") - middle + slope * share) ** 2  # mean squared errors after and before
+    units = units.withColumn("g", (c("xy") - slope * c("xx")) ** 2).withColumn("h", (1 - share) ** 2 * c("s") * left[0] + share**2 * (c("m") - c("s")) * left[1])
+    all_ = units.groupBy(*H).agg(
+        F.sum("m").alias("n"), F.count(F.when(c("treat") == 1, 1)).alias("n_treatment_units"), F.count(F.when(c("treat") == 0, 1)).alias("n_control_units"),
+        F.sum("g").alias("c11"), F.sum(treated(c("g"))).alias("c22"), F.sum("h").alias("h11"), F.sum(treated(c("h"))).alias("h22"), *[F.first(x).alias(x) for x in ("a11", "a12", "a22", "det", "k1", "k2")],
+    )
+    all_ = all_.withColumn("c12", c("c22")).withColumn("h12", c("h22")).withColumn("units", c("n_treatment_units") + c("n_control_units"))
+    all_ = all_.withColumn("clustered", (c("n_treatment_units") >= CLUSTERS) & (c("n_control_units") >= CLUSTERS))
     n, k, g = c("n"), c("units") + 2, c("units")
     hc1 = F.when(n > k, n / (n - k))
     scale = F.when(c("clustered"), g / (g - 1) * (n - 1) / F.when(n > k, n - k)).otherwise(hc1)
