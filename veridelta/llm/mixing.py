@@ -33,7 +33,7 @@ class Targets:
 
 
 def words(text: Column) -> Column:
-    """Blank-separated words, one at least: what a text counts for."""
+    """Blank-separated words, one at least: what a text counts for. A text without blanks, as in scripts that write none, counts as one."""
     return F.greatest(F.lit(1), F.size(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"))).cast("long")
 
 
