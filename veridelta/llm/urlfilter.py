@@ -24,11 +24,13 @@ from .common import materialize
 MOST_BITS = 1 << 30
 MOST_LEVELS = 60
 WORD = 32
+#: Words of a filter that a task puts together.
+SEGMENT = 1 << 15
 
 
 def positions(a: np.ndarray, b: np.ndarray, size: int, count: int, level: int) -> Iterator[np.ndarray]:
     """The bits of each key; those of different levels are independent, or one's errors would be the next one's."""
-    a = a ^ (np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15))
+    a = a ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
     for _ in range(2):
         a = (a ^ (a >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     for i in range(count):
@@ -91,10 +93,16 @@ def build_bloom(keys: DataFrame, count: int, rate: float, level: int) -> Bloom:
             at = np.unique(np.concatenate(list(positions(a, b, size, k, level))).astype(np.int64))
             yield pd.DataFrame({"word": at // WORD, "mask": np.int64(1) << (at % WORD)})
 
-    rows = keys.mapInPandas(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()  # at most size / 32 rows
-    words = np.zeros(size // WORD + 1, np.uint32)
-    for r in rows:
-        words[r["word"]] = r["mask"]
+    def segments(frame: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(SEGMENT, np.uint32)
+        part[frame["word"].to_numpy() % SEGMENT] = frame["mask"].to_numpy().astype(np.uint32)
+        return pd.DataFrame({"segment": frame["word"].iloc[:1] // SEGMENT, "words": [part.tobytes()]})
+
+    by_word = keys.mapInPandas(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    parts = by_word.groupBy(F.floor(F.col("word") / SEGMENT)).applyInPandas(segments, "segment long, words binary")
+    words = np.zeros(-(-(size // WORD + 1) // SEGMENT) * SEGMENT, np.uint32)
+    for r in parts.collect():  # MOST_BITS / 8 bytes at most, in segments
+        words[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["words"], np.uint32)
     return Bloom(words, size, k, level)
 
 
