@@ -1,6 +1,8 @@
 """Counts, files and packing against the library and exact round trips."""
 
 import random
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -42,6 +44,21 @@ def test_compiled_counts_are_the_librarys():
             assert compiled.count(text, chunk) == expected, (text, chunk)
 
 
+def every_character():
+    """Every assigned code point, and of the unassigned each that lies beside an assigned one or is a 61st."""
+    assigned = [not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co") for c in range(sys.maxunicode + 1)]
+    return [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and (any(assigned[max(0, c - 1) : c + 2]) or c % 61 == 0)]
+
+
+def test_every_character_is_the_librarys():
+    """Letters, digits, quotes and blanks around each character: the library's own Unicode tables decide, not Python's."""
+    compiled, ids, points = transducer.compiled(BYTES), word_ids(WORDS), every_character()
+    for at in range(0, len(points), 4):
+        text = " ".join(f"a{c}b {c}s '{c} 1{c}2  {c}{c}" for c in points[at : at + 4])
+        assert compiled.count(text) == len(library_ids(BYTES, text)), ascii(text)
+        assert np.frombuffer(ids(text), "<u4").tolist() == library_ids(WORDS, text), ascii(text)
+
+
 def test_chunk_maps_compose_associatively():
     c = transducer.compiled(BYTES)
     text = "it's a long   text\nof 123 words, and more of them " * 5

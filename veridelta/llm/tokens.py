@@ -11,7 +11,7 @@ import numpy as np
 
 from .common import tokenizer
 
-#: Characters that Python and the library may put into lower case in different ways.
+#: Characters that Python, its regex module and the library may class or put into lower case in different ways, as their Unicode versions differ.
 FAR = re.compile("[^\x00-\u024f\u0400-\u045f]")
 #: Units whose ids a worker keeps in each of two generations; pieces of units are a quarter as many.
 CACHE = 400_000
@@ -38,7 +38,7 @@ class WordIds:
     """Ids from a BPE tokenizer that drops white space, and so treats what stands between spaces independently.
 
     A text is cut at white space; a unit is normalised and split as the tokenizer's own file says, and each piece
-    is merged once, by the ranks of the file's merges. Units and pieces are kept. The end-of-word mark is written as
+    is merged once, by the ranks of the file's merges; a unit with characters beyond common alphabets goes to the library. Units and pieces are kept. The end-of-word mark is written as
     the byte 255, which no UTF-8 text has: the marked single bytes have the lowest ranks but for the bytes themselves,
     so the mark joins the last byte before any other merge, as the library has it from the start. Texts that hold a
     special string, or an ASCII separator that Python but not the library takes for white space, go to the library whole.
@@ -56,7 +56,6 @@ class WordIds:
         pattern = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern).findall
         self.split_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII).findall
-        self.normalize = self.library.normalizer.normalize_str
         mark, special = file["model"]["end_of_word_suffix"], {t["content"] for t in file["added_tokens"]}
         to_byte = byte_of_symbol()
         ranks = {}
@@ -82,8 +81,9 @@ class WordIds:
                 return self.encode_piece(unit)
             pieces = self.split_ascii(unit)
         else:
-            unit = self.normalize(unit) if FAR.search(unit) else unicodedata.normalize("NFC", unit).lower()
-            pieces = self.split(unit)
+            if FAR.search(unit):
+                return np.array(self.library.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+            pieces = self.split(unicodedata.normalize("NFC", unit).lower())
         return b"".join(map(self.pieces.__getitem__, pieces)) if len(pieces) != 1 else self.encode_piece(pieces[0])
 
     def __call__(self, text: str | None) -> bytes:

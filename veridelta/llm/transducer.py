@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import public_vocabulary, tune
+from .common import public_vocabulary, tokenizer, tune
 from .tokens import TwoGenerations, byte_of_symbol
 
 #: Characters of a chunk; longer texts are scanned by chunks.
@@ -135,24 +135,47 @@ class Transducer:
         return total
 
 
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
+#: Unicode's White_Space but for the space itself.
+BLANKS = frozenset([*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+#: Runs of code points: first, last and class.
+Runs = tuple[tuple[int, int, int], ...]
+
+
+@lru_cache(maxsize=2)
+def class_runs(path: str) -> Runs:
+    """Letters and numbers above ASCII as the library's own pre-tokenizer takes them, whatever Unicode version it was built with.
+
+    It splits the sequence of all code points where their class changes; one code point of each run tells the run's class.
+    """
+    split = tokenizer(path).pre_tokenizer.pre_tokenize_str
+    codes = [c for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and c not in BLANKS]
+    starts = [at for _, (at, _) in split("".join(map(chr, codes)))]
+    begins = {at for _, (at, _) in split("".join(f"a{chr(codes[at])}1" for at in starts))}
+    ends = [*starts[1:], len(codes)]
+    kinds = [LETTER if 3 * k + 1 not in begins else NUMBER if 3 * k + 2 not in begins else OTHER for k in range(len(starts))]
+    return tuple((codes[a], codes[b - 1], kind) for a, b, kind in zip(starts, ends, kinds, strict=True) if kind != OTHER)
+
+
+@lru_cache(maxsize=2)
+def classes(runs: Runs) -> np.ndarray:
     """The pre-tokenizer's class of every code point."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)], np.uint8)
-    # Unicode's White_Space
-    table[[*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
+    table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for first, last, kind in runs:
+        table[first : last + 1] = kind
+    for c in range(128):
+        table[c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)
+    table[[*BLANKS]] = BLANK
     table[32], table[39] = SPACE, QUOTE
     return table
 
 
-def cuts(text: str) -> np.ndarray:
+def cuts(text: str, table: np.ndarray) -> np.ndarray:
     """Where the pre-tokenizer's pieces begin, and the end.
 
     Its automaton looks one character back and two ahead, so all places are decided at once.
     """
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    kind, n = classes()[codes], len(codes)
+    kind, n = table[codes], len(codes)
     blank = (kind == SPACE) | (kind == BLANK)
     run = np.where(kind == QUOTE, OTHER, kind)
     cut = np.ones(n + 1, bool)
@@ -186,7 +209,8 @@ class ChunkMap:
 class CompiledTokenizer:
     """Counts tokens of whole texts as the tokenizers library does for the same file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, runs: Runs | None = None):
+        self.classes = classes(class_runs(path) if runs is None else runs)
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         kind = file["pre_tokenizer"]
@@ -205,7 +229,7 @@ class CompiledTokenizer:
         """Tokens of a text that begins and ends at safe places."""
         if not text:
             return 0
-        at = cuts(text).tolist()
+        at = cuts(text, self.classes).tolist()
         return sum(map(self.counts.__getitem__, [text[a:b] for a, b in zip(at, at[1:], strict=False)]))
 
     def chunk_map(self, chunk: str) -> ChunkMap:
@@ -253,9 +277,9 @@ class CompiledTokenizer:
 
 
 @lru_cache(maxsize=2)
-def compiled(path: str) -> CompiledTokenizer:
+def compiled(path: str, runs: Runs | None = None) -> CompiledTokenizer:
     """One compiled tokenizer for each file in a Python worker."""
-    return CompiledTokenizer(path)
+    return CompiledTokenizer(path, runs)
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
@@ -266,12 +290,13 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     """
     tune(docs.sparkSession)
     path = vocabulary or public_vocabulary("byte_bpe_50k.json")
+    runs = class_runs(path)  # asked of the library once, on the driver
 
     @F.pandas_udf(T.LongType())
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = compiled(path)
+        counter = compiled(path, runs)
         for texts in batches:
-            yield pd.Series([tokenizer.count(t) for t in texts], dtype="int64")
+            yield pd.Series([counter.count(t) for t in texts], dtype="int64")
 
     found = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), counted(F.col(text)).alias("n_tokens"))
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
