@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veridelta.llm import ann, components, mixing, packing, quality, queries, simhash, tiff, urlfilter, warc
-from veridelta.llm.common import table
+from veridelta.llm.common import public_vocabulary, table, tokenizer
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
@@ -155,6 +155,65 @@ def test_schedule(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and set(before) == set(after) and all(after[r] >= n for r, n in before.items())
 
 
+def test_schedule_against_a_plain_one(spark):
+    """The schedule by its definition, source by source and document by document."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(rng.integers(1, 30)), s) for s, n in (("a", 150), ("b", 40), (None, 9)) for i in range(n)] + [(3, "same row", "b")] * 30
+    targets = mixing.Targets(entropy=0.97, repetition=3.0, block=120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r["source"]), r["doc_id"], r["n_tokens"], r["epoch"], r["block"]) for r in mixing.mix(docs, targets).collect())
+    narrow = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), mixing.source_key(F.col("source")).alias("mix_key"), mixing.tokens(F.col("text")).alias("n_tokens"))
+    each = mixing.numbered_copies(narrow).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("h", F.xxhash64(F.lit(targets.seed), "epoch", "id", "tie", "copy")).collect()
+    total = Counter()
+    for r in each:
+        total[r["mix_key"]] += r["n_tokens"] * (r["epoch"] == 0)
+    assert {r["n_tokens"] for r in each} == {max(1, len(tokenizer(public_vocabulary("byte_bpe_50k.json")).encode(t).ids)) for _, t, _ in rows}
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+
+    def mixture(a):
+        z = sum(v**a for v in share.values())
+        return {s: v**a / z for s, v in share.items()}
+
+    def entropy(w):
+        return -sum(v * np.log(v) for v in w.values())
+
+    def repeats(w):
+        return max(w[s] / share[s] for s in w) / min(w[s] / share[s] for s in w)
+
+    grid = np.linspace(0, 1, 20001)
+    best = max(a for a in grid if entropy(mixture(a)) >= 0.97 * np.log(3))
+    best = max(best, min(a for a in grid if repeats(mixture(a)) <= 3))
+    weight = mixture(best)
+    budget = sum(total.values()) / min(weight[s] / share[s] for s in weight)
+    expected = []
+    for s in total:
+        epochs = weight[s] * budget / total[s]
+        epochs = round(epochs) if abs(epochs - round(epochs)) < 1e-3 else epochs
+        for e in range(int(np.ceil(epochs))):
+            before = 0
+            for r in sorted((r for r in each if r["mix_key"] == s and r["epoch"] == e), key=lambda r: (r["h"] % (1 << 64)) >> 11):
+                if before < (epochs - e) * total[s] - 1e-3:
+                    expected.append((str(None if s == "-" else s[1:]), r["id"], r["n_tokens"], e, int((e * total[s] + before) / (weight[s] * 120))))
+                before += r["n_tokens"]
+    expected.sort()
+    assert len(got) == len(expected) and [g[:4] for g in got] == [x[:4] for x in expected]
+    assert sum(g[4] != x[4] for g, x in zip(got, expected, strict=True)) <= len(got) // 200  # a place on a block's border may round
+
+
+def test_different_sets_of_one_digest_stay_apart(spark, monkeypatch):
+    """Digests of 4 bits make nearly every set collide; the second digest tells them apart."""
+    from veridelta.llm import shingles
+
+    whole = shingles.digest
+    rows = spark.createDataFrame([(i, i % 3 + 1, c) for i, c in enumerate([5, 6, 7, 5, 6, 7])], "doc_id long, fp long, check long")
+    rows = rows.select("doc_id", F.struct(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).alias("th"), (F.col("fp") * 0 + 1).alias("fp"), "check", F.array(F.lit(1)).alias("bands"), F.lit(b"").alias("sim"))
+    nodes = simhash.shingle_nodes(rows)
+    assert nodes.where("low != high").count() == 1
+    apart = simhash.told_apart(rows, nodes).collect()
+    assert len({r["fp"] for r in apart}) == 3 and all((r["fp"] == s["fp"]) == (r["check"] == s["check"]) for r in apart for s in apart)
+    assert whole(np.array([1, 2], np.uint64)) != whole(np.array([1, 2], np.uint64), 8)
+
+
 @here
 def test_quality_on_held_out_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")

@@ -9,16 +9,22 @@ source's share of the block's budget, and its documents stand in a random order
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, running_total
+from .common import materialize, public_vocabulary, running_total, tune
+from .tokens import byte_ids
 
 #: Exponents that one pass looks at, and passes: the interval shrinks by POINTS - 1 each time.
 POINTS, PASSES = 33, 4
+#: Copies of an equal row that are numbered at once.
+COPIES = 4096
 
 
 @dataclass(frozen=True)
@@ -32,9 +38,17 @@ class Targets:
     seed: int = 17
 
 
-def words(text: Column) -> Column:
-    """Blank-separated words, one at least: what a text counts for. A text without blanks, as in scripts that write none, counts as one."""
-    return F.greatest(F.lit(1), F.size(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"))).cast("long")
+def tokens(text: Column, vocabulary: str | None = None) -> Column:
+    """Tokens of a text by a public byte-level tokenizer, one at least: what a text counts for."""
+    path = vocabulary or public_vocabulary("byte_bpe_50k.json")
+
+    @F.pandas_udf(T.LongType())
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = byte_ids(path)
+        for texts in batches:
+            yield pd.Series([max(1, len(ids(t))) for t in texts], dtype="int64")
+
+    return counted(text)
 
 
 def source_key(source: Column) -> Column:
@@ -119,6 +133,14 @@ def weights(totals: DataFrame, targets: Targets) -> DataFrame:
     return totals.withColumn("weight", weight).withColumn("epochs", F.when(F.abs(epochs - nearly) < 1e-9, nearly).otherwise(epochs))
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """The rows with a number for each of equal ones, so that copies of one row have hashes, and so places and tasks, of their own."""
+    counted = rows.groupBy("id", "tie", "mix_key", "n_tokens").agg(F.count("*").alias("m"))
+    lots = counted.withColumn("lot", F.explode(F.sequence(F.lit(0), F.expr(f"(m - 1) div {COPIES}"))))
+    inside = F.explode(F.sequence(F.lit(0), F.least(F.lit(COPIES), F.col("m") - F.col("lot") * COPIES) - 1))
+    return lots.withColumn("in_lot", inside).select("id", "tie", "mix_key", "n_tokens", (F.col("lot") * COPIES + F.col("in_lot")).alias("copy"))
+
+
 def schedule(rows: DataFrame, targets: Targets = Targets()) -> DataFrame:
     """(id, mix_key, n_tokens, weight, epoch, block, position) for every appearance of a document.
 
@@ -129,19 +151,19 @@ def schedule(rows: DataFrame, targets: Targets = Targets()) -> DataFrame:
     """
     per_source = materialize(source_totals(rows), "source-totals")
     mix = materialize(weights(per_source, targets), "mixture")
-    known = rows.join(mix.withColumnRenamed("mix_key", "of"), F.col("mix_key") == F.col("of")).drop("of")
+    known = numbered_copies(rows).join(mix.withColumnRenamed("mix_key", "of"), F.col("mix_key") == F.col("of")).drop("of")
     each = known.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("epochs").cast("int") - 1)))
-    each = each.withColumn("h", F.xxhash64(F.lit(targets.seed), "epoch", "id", "tie"))
+    each = each.withColumn("h", F.xxhash64(F.lit(targets.seed), "epoch", "id", "tie", "copy"))
     parts = F.ceil(F.sqrt("docs")).cast("long")
     unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))  # from 0 to 1, in the order of the hash
-    placed = running_total(each, ["mix_key", "epoch"], [unit, F.col("id"), F.col("tie")], F.col("n_tokens"), F.floor(unit * parts), "before")
+    placed = running_total(each, ["mix_key", "epoch"], [unit, F.col("id"), F.col("tie"), F.col("copy")], F.col("n_tokens"), F.floor(unit * parts), "before")
     left = (F.col("epochs") - F.col("epoch")) * F.col("tokens")
     kept = placed.where(F.col("before") < left)
     per_block = F.col("weight") * F.lit(float(targets.block))
     block = F.floor((F.col("epoch") * F.col("tokens") + F.col("before")) / per_block)
-    blocked = kept.select("id", "tie", "mix_key", "n_tokens", "weight", "epoch", block.alias("block"))
-    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(targets.seed + 1), "id", "tie", "epoch"), "id", "tie", "epoch")
-    return blocked.withColumn("position", F.row_number().over(order) - 1)
+    blocked = kept.select("id", "tie", "copy", "mix_key", "n_tokens", "weight", "epoch", block.alias("block"))
+    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(targets.seed + 1), "id", "tie", "copy", "epoch"), "id", "tie", "copy", "epoch")
+    return blocked.withColumn("position", F.row_number().over(order) - 1).drop("copy")
 
 
 def mix(docs: DataFrame, targets: Targets = Targets(), doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -149,7 +171,8 @@ def mix(docs: DataFrame, targets: Targets = Targets(), doc_id: str = "doc_id", s
 
     A null source is a source of its own; a null or empty text counts as one token. Repeated rows appear each for itself.
     """
-    narrow = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("tie"), source_key(F.col(source)).alias("mix_key"), words(F.col(text)).alias("n_tokens"))
+    tune(docs.sparkSession)
+    narrow = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("tie"), source_key(F.col(source)).alias("mix_key"), tokens(F.col(text)).alias("n_tokens"))
     found = schedule(materialize(narrow, "mix-rows"), targets)
     name = F.when(F.col("mix_key") != "-", F.substring("mix_key", 2, 1 << 30)).alias("source")
     return found.select(F.col("id").alias("doc_id"), name, "n_tokens", "weight", "epoch", "block", "position")
@@ -161,11 +184,11 @@ def mixed_rows(docs: DataFrame, targets: Targets = Targets(), source: str = "sou
     The schedule is made from ids and counts; whole rows are shuffled once to meet it and once into its order. Equal
     rows are told apart by their number alone: a row that occurs m times is scheduled m times.
     """
-    columns = docs.columns
-    row = [F.col(c) for c in columns]
-    keyed = docs.withColumn("__a", F.xxhash64(*row)).withColumn("__b", F.xxhash64(F.lit(1), *row))  # 128 bits tell rows apart
-    counted = keyed.select(F.col("__a").alias("id"), F.col("__b").alias("tie"), source_key(F.col(source)).alias("mix_key"), words(F.col(text)).alias("n_tokens"))
+    tune(docs.sparkSession)
+    row = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    keyed = docs.select(F.struct(*row).alias("row"), F.xxhash64(*row).alias("a"), F.xxhash64(F.lit(1), *row).alias("b"), source_key(F.col(source)).alias("key"), F.col(text).alias("text"))  # 128 bits tell rows apart
+    counted = keyed.select(F.col("a").alias("id"), F.col("b").alias("tie"), F.col("key").alias("mix_key"), tokens(F.col("text")).alias("n_tokens"))
     plan = schedule(materialize(counted, "mix-rows"), targets).select("id", "tie", "block", "position")
-    once = keyed.dropDuplicates(["__a", "__b"])  # dealt by the keys of the join, so that rows move once for both
-    placed = once.join(plan, (F.col("__a") == F.col("id")) & (F.col("__b") == F.col("tie")))
-    return placed.repartitionByRange("block", "position").sortWithinPartitions("block", "position").select(*columns)
+    once = keyed.select("row", "a", "b").dropDuplicates(["a", "b"])  # dealt by the keys of the join, so that rows move once for both
+    placed = once.join(plan, (F.col("a") == F.col("id")) & (F.col("b") == F.col("tie")))
+    return placed.repartitionByRange("block", "position").sortWithinPartitions("block", "position").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -86,13 +86,13 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return every[np.r_[True, every[1:] != every[:-1]]]
 
 
-def digest(shingles: np.ndarray) -> int:
+def digest(shingles: np.ndarray, seed: int = 7) -> int:
     """One long for a set of hashes; 0 is that of texts without words alone."""
     import xxhash
 
     if not len(shingles):
         return 0
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7) or 1).view(np.int64)))
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), seed) or 1).view(np.int64)))
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
