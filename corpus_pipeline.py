@@ -18,8 +18,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier doesn't reject, with all their columns."""
     rows = materialize(quality.with_features(docs), "quality-features")
     model = quality.fit(rows, table(spark, sf_dir, "labels"), quality.in_training(F.col("__id")))
-    judged = docs.withColumn("__x", quality.feature_column(F.col("text")))
-    return judged.where(model.score(F.col("__x")) >= LEAST_SCORE).drop("__x")
+    x = "x" + "".join(docs.columns)  # a name that no column has
+    return docs.withColumn(x, quality.feature_column(F.col("text"))).where(model.score(F.col(x)) >= LEAST_SCORE).drop(x)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +36,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = kept.where("n > 1").select("__id", "__th")
     rest = each.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("th") == F.col("__th")), "left_anti")
     out = rest.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).unionByName(again)
-    keyed = docs.withColumn("__key", simhash.text_key(F.col("text")))
-    same = (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__th"))
-    once = keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return keyed.join(out, same, "left_anti").unionByName(once).drop("__key")
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])  # as one, so that no name clashes
+    keyed = docs.select(row.alias("row"), F.col("doc_id").alias("id"), simhash.text_key(F.col("text")).alias("key"))
+    same = (F.col("id") == F.col("__id")) & (F.col("key") == F.col("__th"))
+    once = keyed.join(again, same, "left_semi").dropDuplicates(["id", "key"])
+    return keyed.join(out, same, "left_anti").unionByName(once).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
