@@ -119,3 +119,20 @@ def test_root_cause_is_the_narrowest_cell_that_explains(spark):
     assert (None, None, 0) in {(r["a"], r["b"], r["cell"]) for r in found}  # nothing below has four fifths of it
     still = [(w, "p", "u", 100) for w in (1, 4)]
     assert lattice.root_causes(lattice.cells(sales(spark, still), ["a", "b"], (1, 1), (4, 4)), ["a", "b"]).count() == 0
+
+
+def test_sketches_merge_as_if_made_at_once(spark):
+    from veridelta.operators import sketches
+
+    rng = random.Random(2)
+    rows = [(w, rng.choice([None, *range(3000)]), rng.choice([None, 1.0, rng.lognormvariate(3, 1)])) for w in range(8) for _ in range(2500)] + [(9, None, None)]
+    df = spark.createDataFrame(rows, "week int, key int, amount double")
+    weekly = sketches.sketched(df, ["week"], "key", "amount")
+    whole = sketches.merged(weekly.where("week < 9"), []).select("n", "total", sketches.distinct_of(F.col("keys")).alias("d"), sketches.quantile_of(F.col("amounts"), 0.5).alias("m")).first()
+    keys, amounts = {k for _, k, _ in rows if k is not None}, sorted(a for *_, a in rows if a is not None)
+    assert whole["n"] == 20000 and abs(whole["d"] - len(keys)) <= sketches.distinct_error() * len(keys)
+    low, high = sum(a < whole["m"] for a in amounts) / len(amounts), sum(a <= whole["m"] for a in amounts) / len(amounts)
+    assert low - sketches.rank_error() <= 0.5 <= high + sketches.rank_error()
+    empty = weekly.where("week = 9").select("n", "total", sketches.distinct_of(F.col("keys")).alias("d"), sketches.quantile_of(F.col("amounts"), 0.5).alias("m")).first()
+    assert tuple(empty) == (1, None, 0, None)
+    assert sketches.sketched(df.limit(0), ["week"], "key", "amount").count() == 0

@@ -151,6 +151,22 @@ def test_bootstrap_covers_the_point(sales):
         assert r["low"] < point[r["player"]] < r["high"]
 
 
+def test_bootstrap_is_the_same_however_rows_are_dealt(sales):
+    """The same bounds from one task and from many, with equal rows drawn each for itself."""
+    sales = sales.unionByName(sales.limit(5))
+    bounds = lambda df: {r["player"]: (round(r["low"], 6), round(r["high"], 6)) for r in localise.bootstrap_deltas(df, "product_category", (1, 3), (5, 7), 100).collect()}
+    assert bounds(sales.coalesce(1)) == bounds(sales.repartition(7))
+    assert localise.bootstrap_deltas(sales.limit(0), "product_category", (1, 3), (5, 7), 100).count() == 0
+
+
+def test_poisson_draws():
+    draws = localise.poisson_draws(np.arange(4000, dtype=np.int64) * 2**31 - 5, 200)
+    assert abs(draws.mean() - 1) < 0.01 and abs(draws.var() - 1) < 0.02
+    shares = np.bincount(draws.ravel(), minlength=4)[:4] / draws.size
+    assert np.allclose(shares, [math.exp(-1), math.exp(-1), math.exp(-1) / 2, math.exp(-1) / 6], atol=0.003)
+    assert abs(np.corrcoef(draws[0], draws[1])[0, 1]) < 0.05 and abs(np.corrcoef(draws[:, 0], draws[:, 1])[0, 1]) < 0.2
+
+
 def test_rep_shares(spark):
     reps = spark.createDataFrame([("West", "2025-07", "W1", 100.0), ("West", "2025-08", "W1", 20.0), ("West", "2025-07", "W2", 50.0), ("West", "2025-09", "W2", 60.0)], "region string, month string, rep_id string, rep_attributed_revenue double")
     loss = spark.createDataFrame([("West", -100.0)], "region string, loss double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,13 @@ from pyspark.sql import functions as F
 
 from veridelta.functions.columns import ratio
 
-REPLICATES, PERMUTATIONS, SEED = 500, 200, 7
+REPLICATES, PERMUTATIONS, SEED = 500, 2000, 7
+#: The bootstrap's generator: a 32-bit word, odd factors below 2^31, steps from one replicate and one copy to the next.
+WORD, FIRST_FACTOR, SECOND_FACTOR, REPLICATE_STEP, COPY_STEP = 0xFFFFFFFF, 0x7FEB352D, 0x31848BAB, 0x85EBCA6B, 0x9E3779B9
+#: A word below the k-th of these is a Poisson count of k or less.
+POISSON_LIMITS = np.array([int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)], np.int64)
+#: Rows whose draws are made at once.
+DRAWN_AT_ONCE = 4096
 
 
 def inside(period: str, window: tuple) -> Column:
@@ -52,34 +59,56 @@ def category_deltas(sales: DataFrame, keys: list[str], player: str, pre: tuple,
     return sales.where(now | was).groupBy(*keys, F.col(player).alias("player")).agg(delta.cast("double").alias("delta"))
 
 
-def bootstrap_deltas(sales: DataFrame, player: str, pre: tuple, post: tuple, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """32 bits stirred so that each bit of the result depends on every bit of ``x``; products stay below 2^63."""
+    x = (x ^ (x >> 16)) * FIRST_FACTOR & WORD
+    x = (x ^ (x >> 15)) * SECOND_FACTOR & WORD
+    return x ^ (x >> 16)
+
+
+def poisson_draws(identity: np.ndarray, replicates: int, seed: int = SEED) -> np.ndarray:
+    """(replicates, rows) counts of a Poisson distribution of mean 1; a count depends on its row's identity, its replicate and the seed alone."""
+    low, high = identity & WORD, (identity >> 32) & WORD
+    row = mixed(mixed(low + seed & WORD) ^ high)
+    number = np.arange(replicates, dtype=np.int64) * REPLICATE_STEP & WORD
+    return np.searchsorted(POISSON_LIMITS, mixed(row[None, :] ^ number[:, None]), side="right")
+
+
+def bootstrap_deltas(sales: DataFrame, player: str, pre: tuple, post: tuple, replicates: int = REPLICATES, seed: int = SEED, identity: Column | None = None) -> DataFrame:
     """(player, low, high): 5 % and 95 % bounds of category_deltas, resampling rows within each week.
 
-    Each row has a Poisson(1) count in each replicate, from a generator seeded by the task's number; a week's counts are
-    scaled to its number of rows, as resampling keeps it. Tasks add up whole vectors of replicates, so a row is read
-    once and never copied. The draw depends on how rows are dealt to tasks; its distribution doesn't.
+    Each row has a Poisson(1) count in each replicate, from a generator that counts by the row's ``identity`` (a long; by default a hash of all
+    its columns) and the replicate: the same bounds come out however rows are dealt to tasks, and after a lost executor. Equal rows
+    are told apart by their number. A week's counts are scaled to its number of rows, as resampling keeps it. Tasks add up whole vectors
+    of replicates in integers of a ten-thousandth, so a row is read once and never copied.
     """
     now, was = inside("week", post), inside("week", pre)
-    rows = sales.where(now | was).select("week", F.col(player).alias("player"), F.col("gross_revenue").cast("double").alias("value"), now.alias("now"))
+    known = F.xxhash64(*[F.col(c) for c in sales.columns]) if identity is None else identity
+    amount = (F.col("gross_revenue").cast("decimal(18,4)") * 10000).cast("bigint")
+    rows = sales.where(now | was).select("week", F.col(player).alias("player"), F.coalesce(amount, F.lit(0)).alias("value"), now.alias("now"), known.cast("bigint").alias("identity"))
+    rows = rows.where("player is not null").groupBy("week", "player", "value", "now", "identity").agg(F.count("*").alias("copies"))
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        rng, found = np.random.default_rng([seed, TaskContext.get().partitionId()]), {}
+        found = {}
         for frame in frames:
-            for (week, name, after), part in frame.groupby(["week", "player", "now"]):
-                draw = rng.poisson(1.0, (replicates, len(part)))
-                n, v = found.get((week, name, after), (0, 0))
-                found[week, name, after] = (n + draw.sum(axis=1), v + draw @ part["value"].to_numpy())
-        out = [(w, p, bool(a), *map(float, (n[r], v[r])), r) for (w, p, a), (n, v) in found.items() for r in range(replicates)]
+            for key, part in frame.groupby(["week", "player", "now"]):
+                copies = part["copies"].to_numpy()
+                place = np.repeat(np.arange(len(part)), copies)
+                number = np.arange(len(place)) - np.repeat(np.cumsum(copies) - copies, copies)
+                for some in np.array_split(np.arange(len(place)), len(place) // DRAWN_AT_ONCE + 1):
+                    at, value = place[some], part["value"].to_numpy()[place[some]]
+                    draw = poisson_draws(part["identity"].to_numpy()[at] + number[some] * COPY_STEP, replicates, seed)
+                    n, v = found.get(key, (0, 0))
+                    found[key] = (n + draw.sum(axis=1), v + draw @ value)
+        out = [(w, p, bool(a), int(n[r]), int(v[r]), r) for (w, p, a), (n, v) in found.items() for r in range(replicates)]
         yield pd.DataFrame(out, columns=["week", "player", "now", "drawn", "value", "replicate"])
 
-    partial = rows.mapInPandas(sums, "week int, player string, now boolean, drawn double, value double, replicate int")
+    partial = rows.mapInPandas(sums, "week int, player string, now boolean, drawn long, value long, replicate int")
     cells = partial.groupBy("week", "player", "now", "replicate").agg(F.sum("drawn").alias("drawn"), F.sum("value").alias("value"))
-    size = rows.groupBy("week").agg(F.count("*").alias("rows"))
+    size = rows.groupBy("week").agg(F.sum("copies").alias("rows"))
     drawn = cells.groupBy("week", "replicate").agg(F.sum("drawn").alias("all"))
     scaled = cells.join(drawn, ["week", "replicate"]).join(size, "week")
-    value = F.col("value") * ratio(F.col("rows"), F.col("all")) * F.when(F.col("now"), 1).otherwise(-1)
+    value = F.col("value") / 10000 * ratio(F.col("rows"), F.col("all")) * F.when(F.col("now"), 1).otherwise(-1)
     per = scaled.groupBy("player", "replicate").agg(F.sum(value).alias("delta"))
     return per.groupBy("player").agg(F.percentile("delta", F.lit(0.05)).alias("low"), F.percentile("delta", F.lit(0.95)).alias("high"))
 

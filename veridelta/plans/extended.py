@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.operators import joins, lattice
+from veridelta.operators import joins, lattice, sketches
 from veridelta.sources import binding
 from veridelta.sources.binding import LEDGER_SQL, SALES_SQL
-from veridelta.sources.tables import table
+from veridelta.sources.tables import materialize, table
 
 from .registry import register
 
@@ -147,3 +147,24 @@ def cube_root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that explain a twentieth of the movement or more and of whose movement no narrower cell has four fifths."""
     found = lattice.root_causes(_cells(spark, sf_dir), DIMS, 0.05, 0.8)
     return found.select(*DIMS, "cell", "level", F.col("delta").cast("double").alias("delta"), F.round("explained", 6).alias("explained"), F.round("deepest_share", 6).alias("deepest_share"))
+
+
+@register("sketched_quarters", f"""
+with {SALES_SQL}, quarters as (
+  select region, cast(floor((week - 1) / 13.0) as integer) as quarter, count(*) as n, cast(sum(gross_revenue) as double) as total, count(distinct rep_id) as reps from sales group by all)
+select region, quarter, n, total, reps, true as reps_within, true as median_within, true as p95_within from quarters
+""")
+def sketched_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reps and revenue quantiles of each quarter from weekly sketches, and whether they are as near to the exact ones as the sketches promise."""
+    sales = binding.sales(spark, sf_dir)
+    weekly = materialize(sketches.sketched(sales, ["region", "week"], "rep_id", "gross_revenue"), "weekly-sketches")
+    quarter = F.floor((F.col("week") - 1) / 13.0).cast("int").alias("quarter")
+    found = sketches.merged(weekly.select("*", quarter), ["region", "quarter"])
+    told = found.select("region", "quarter", "n", F.col("total").cast("double").alias("total"), sketches.distinct_of(F.col("keys")).alias("about"), *[sketches.quantile_of(F.col("amounts"), q).alias(f"q{q}") for q in (0.5, 0.95)])
+    amount = F.col("gross_revenue").cast("double")
+    margin = sketches.rank_error()
+    exact = sales.select("region", quarter, "rep_id", amount.alias("amount")).join(told.select("region", "quarter", "`q0.5`", "`q0.95`"), ["region", "quarter"])
+    ranks = [(F.sum((F.col("amount") < F.col(f"`q{q}`")).cast("int")) / F.count("*") - q <= margin) & (F.sum((F.col("amount") <= F.col(f"`q{q}`")).cast("int")) / F.count("*") - q >= -margin) for q in (0.5, 0.95)]
+    checked = exact.groupBy("region", "quarter").agg(F.countDistinct("rep_id").alias("reps"), ranks[0].alias("median_within"), ranks[1].alias("p95_within"))
+    within = F.abs(F.col("about") - F.col("reps")) <= F.greatest(F.lit(1.0), F.col("reps") * sketches.distinct_error())
+    return told.join(checked, ["region", "quarter"]).select("region", "quarter", "n", "total", "reps", within.alias("reps_within"), "median_within", "p95_within")

@@ -193,10 +193,39 @@ def shapley_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("value", F.round("value", 4))
 
 
-@register("bootstrap_ci")
+def _mixed_sql(x: str) -> str:
+    """``localise.mixed`` of a 32-bit word."""
+    first = f"list_transform([{x}], lambda a: xor(a, a >> 16) * {localise.FIRST_FACTOR} % 4294967296)"
+    second = f"list_transform({first}, lambda b: xor(b, b >> 15) * {localise.SECOND_FACTOR} % 4294967296)"
+    return f"list_transform({second}, lambda c: xor(c, c >> 16))[1]"
+
+
+ROW_WORD_SQL = _mixed_sql(f"xor({_mixed_sql(f'(identity % 4294967296 + {localise.SEED}) % 4294967296')}, identity // 4294967296 % 4294967296)")
+
+
+@register("bootstrap_ci", f"""
+with {SALES_SQL},
+r as (
+  select week, product_category as player, week between 104 and 106 as later, cast(gross_revenue * 10000 as bigint) as value,
+    date_diff('day', date '1970-01-01', date)::bigint * 15485863 + rep_id * 1000003 + units * 7919 + cast(gross_revenue * 10000 as bigint) as identity, count(*) as copies
+  from sales where week between 100 and 102 or week between 104 and 106 group by all),
+c as (select week, player, later, value, unnest(range(0, copies)) * {localise.COPY_STEP} + identity as identity from r),
+w as (select week, player, later, value, {ROW_WORD_SQL} as word from c),
+u as (select week, player, later, value, replicate, {_mixed_sql(f"xor(word, replicate * {localise.REPLICATE_STEP} % 4294967296)")} as drawn_word from w, unnest(range(0, {localise.REPLICATES})) as k(replicate)),
+d as (select week, player, later, value, replicate, len(list_filter({localise.POISSON_LIMITS.tolist()}, lambda x: x <= drawn_word)) as n from u),
+cells as (select week, player, later, replicate, sum(n) as drawn, sum(n * value) as value from d group by all),
+weeks as (select week, replicate, sum(drawn) as every from cells group by all), sizes as (select week, sum(copies) as n_rows from r group by week),
+per as (
+  select player, replicate, sum(cast(value as double) / 10000 * case when every = 0 then 0 else cast(n_rows as double) / cast(every as double) end * case when later then 1 else -1 end) as delta
+  from cells join weeks using (week, replicate) join sizes using (week) group by all)
+select player, round(quantile_cont(delta, 0.05), 3) as low, round(quantile_cont(delta, 0.95), 3) as high from per group by player
+""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds of the categories' deltas; random, so checked by their coverage in the tests."""
-    return localise.bootstrap_deltas(binding.sales(spark, sf_dir), "product_category", PRE, POST)
+    """Bounds of the categories' deltas; the draws follow from the rows, so that they are the same anywhere."""
+    sales = binding.sales(spark, sf_dir)
+    identity = F.unix_date("date").cast("bigint") * 15485863 + F.col("rep_id") * 1000003 + F.col("units") * 7919 + (F.col("gross_revenue") * 10000).cast("bigint")
+    found = localise.bootstrap_deltas(sales, "product_category", PRE, POST, identity=identity)
+    return found.select("player", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
 
 
 @register("rep_share", f"""
