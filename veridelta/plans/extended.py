@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridelta.operators import joins, lattice, sketches
 from veridelta.sources import binding
 from veridelta.sources.binding import LEDGER_SQL, SALES_SQL
-from veridelta.sources.tables import materialize, table
+from veridelta.sources.tables import materialize, shared_dir, table
+from veridelta.streaming import gate
 
 from .registry import register
 
 PRE, POST = (180, 182), (184, 186)
+#: An event's time in microseconds, whatever the session's time zone.
+MICROS = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
 
 BALANCED_SQL = f"""
 {SALES_SQL}, {LEDGER_SQL},
@@ -54,7 +59,7 @@ others as (select event_id, user_id as who, event_type, cast(value as decimal(18
 
 def _incidents(spark: SparkSession, sf_dir: str, unit: int) -> tuple[DataFrame, DataFrame]:
     """Other events, and each error's window: as many units of seconds as its value says, from no time to days."""
-    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    events = table(spark, sf_dir, "events").withColumn("at", MICROS)
     errors = events.where("event_type = 'error'").select(F.col("event_id").alias("incident"), "user_id", F.col("at").alias("begun"), (F.col("at") + F.round(F.col("value") * unit).cast("bigint") * 1_000_000).alias("over"))
     return events.where("event_type <> 'error'").select("event_id", "user_id", "event_type", F.col("value").cast("decimal(18,4)").alias("value"), "at"), errors
 
@@ -104,7 +109,7 @@ select event_id, f.user_id, bought, moment - bought_at as micros_since from faul
 """)
 def asof_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every error with its user's last purchase before it, however long ago."""
-    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    events = table(spark, sf_dir, "events").withColumn("at", MICROS)
     bought = events.where("event_type = 'purchase'").select("user_id", F.col("at").alias("bought_at"), F.col("value").alias("bought"))
     found = joins.asof_join(events.where("event_type = 'error'").select("event_id", "user_id", "at"), bought, "at", "bought_at", ["user_id"])
     return found.select("event_id", "user_id", "bought", joins.age_of(F.col("at"), F.col("bought_at")).alias("micros_since"))
@@ -168,3 +173,26 @@ def sketched_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = exact.groupBy("region", "quarter").agg(F.countDistinct("rep_id").alias("reps"), ranks[0].alias("median_within"), ranks[1].alias("p95_within"))
     within = F.abs(F.col("about") - F.col("reps")) <= F.greatest(F.lit(1.0), F.col("reps") * sketches.distinct_error())
     return told.join(checked, ["region", "quarter"]).select("region", "quarter", "n", "total", "reps", within.alias("reps_within"), "median_within", "p95_within")
+
+
+@register("streaming_gate", """
+select event_type as key, cast(floor(epoch_us(ts) / 86400000000.0) as bigint) as period, cast(sum(cast(round(value * 10000) as bigint)) as double) / 10000 as value, count(*) as n_rows, 0::bigint as n_late
+from events where (floor(epoch_us(ts) / 86400000000.0) + 1) * 86400000 <= (select max(epoch_ms(ts)) from events) - 172800000 group by all
+""")
+def streaming_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream by type and day: the days that have closed by the watermark, from the stream's sink."""
+    name, provider = gate.STATE_STORE
+    # five keys need few state stores; a stream keeps the number that it begins with
+    wanted = {name: provider, "spark.sql.shuffle.partitions": str(min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    before = {k: spark.conf.get(k) for k in wanted}
+    out = f"{shared_dir(spark)}/closed-days-{uuid.uuid4().hex}"
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may name a file as well as a folder
+        closed = gate.gate_stream(stream.withColumn("ts", F.timestamp_micros(MICROS)), "event_type", "ts", "value", (50.0, 1.0, 2.0, 100.0), seconds=86400)
+        closed.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.read.schema(gate.CLOSED).parquet(out).select("key", "period", "value", "n_rows", "n_late")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridelta import contract
+from veridelta.functions import table_functions
 from veridelta.operators import localise, reconcile, signal
 from veridelta.sources import binding
 from veridelta.sources.binding import SALES_SQL
@@ -248,3 +249,30 @@ select region, round(avg(v) filter (month <> '1998-05') - avg(v) filter (month =
 """)
 def region_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return localise.region_loss(binding.sales(spark, sf_dir), PRE_MONTHS, POST_MONTHS).withColumn("loss", F.round("loss", 6))
+
+
+@register("sql_changepoints", BOCPD_SQL + DETECT_TAIL + """
+select 'rep_attributed_revenue' as kpi, region, cast(n as integer) as n_observations, cast(tau as integer) as tau, round(confidence, 6) as confidence, round((c - b) / b, 6) as impact_pct, round(c - b, 2) as impact_abs
+from i join base using (region)
+""")
+def sql_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changepoints of the monthly series, called from SQL by partition."""
+    table_functions.register(spark)
+    series = weekly_series(spark, sf_dir).where("period_unit = 'month'").select("kpi", "region", "period", "value")
+    found = spark.sql("select * from changepoints(TABLE(select * from {series}) PARTITION BY (kpi, region) ORDER BY period)", series=series)
+    return found.select("kpi", "region", "n_observations", "tau", F.round("confidence", 6).alias("confidence"), F.round("impact_pct", 6).alias("impact_pct"), F.round("impact_abs", 2).alias("impact_abs"))
+
+
+@register("sql_bridge", f"""
+with {SALES_SQL}, sums as (
+  select region, cast(sum(case when week between 100 and 102 then gross_revenue else 0 end) as double) as r0, cast(sum(case when week between 104 and 106 then gross_revenue else 0 end) as double) as r1,
+    cast(sum(case when week between 100 and 102 then units else 0 end) as double) as q0, cast(sum(case when week between 104 and 106 then units else 0 end) as double) as q1
+  from sales where week between 100 and 102 or week between 104 and 106 group by region)
+select region, r0 as revenue_pre, r1 as revenue_post, round((q1 - q0) * r0 / q0, 4) as volume_effect, round(q1 * (r1 / q1 - r0 / q0), 4) as price_effect from sums
+""")
+def sql_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price and volume bridge of each region, called from SQL over what weeks sum to."""
+    table_functions.register(spark)
+    cells = binding.sales(spark, sf_dir).groupBy("region", "week").agg(F.sum("units").alias("units"), F.sum("gross_revenue").alias("gross_revenue"))
+    found = spark.sql(f"select * from price_volume(TABLE(select * from {{cells}}) PARTITION BY (region), {PRE[0]}, {PRE[1]}, {POST[0]}, {POST[1]})", cells=cells)
+    return found.select("region", "revenue_pre", "revenue_post", F.round("volume_effect", 4).alias("volume_effect"), F.round("price_effect", 4).alias("price_effect"))
