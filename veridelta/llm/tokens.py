@@ -14,7 +14,7 @@ from .common import tokenizer
 #: Characters that Python, its regex module and the library may class or put into lower case in different ways, as their Unicode versions differ.
 FAR = re.compile("[^\x00-\u024f\u0400-\u045f]")
 #: Units whose ids a worker keeps in each of two generations; pieces of units are a quarter as many.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class TwoGenerations(dict):
