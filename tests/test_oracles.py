@@ -8,7 +8,7 @@ import pytest
 
 from veridelta import contract
 from veridelta.operators import signal
-from veridelta.plans import adjudication, bookkeeping, extended, monitoring, movements, reconciliation, registry  # noqa: F401
+from veridelta.plans import adjudication, bookkeeping, extended, flows, monitoring, movements, reconciliation, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

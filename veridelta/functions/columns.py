@@ -67,6 +67,14 @@ def normal_two_sided(z: Column) -> Column:
     return F.when(z.isNull() | F.isnan(z), F.lit(None).cast("double")).when(a > 12, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 * density * total))
 
 
+def power_law_between_ends(x: Column, y: Column) -> Column:
+    """Aggregate exponent of y = scale * x ** exponent between the smallest and the largest x alone; null unless they differ and both have a positive y."""
+    both = (x > 0) & (y > 0)
+    at = F.when(both, x)
+    rise = F.log(F.max_by(y, at)) - F.log(F.min_by(y, at))
+    return rise / F.nullif(F.log(F.max(at)) - F.log(F.min(at)), F.lit(0.0))
+
+
 def power_law(x: Column, y: Column) -> tuple[Column, Column, Column]:
     """Aggregates (exponent, scale, r2) of y = scale * x ** exponent by least squares on logarithms; points that aren't positive take no part."""
     both = (x > 0) & (y > 0)

@@ -176,6 +176,15 @@ def ascending(contributions: DataFrame, value: str = "delta") -> DataFrame:
     return contributions.orderBy(value, *[c for c in contributions.columns if c != value])
 
 
+def reindexed(rows: DataFrame, keys: list[str], period: str, wanted: list) -> DataFrame:
+    """The rows of the wanted periods; a key without one of them has a row of nulls for it, so that what is missing shows.
+
+    Periods that aren't wanted are left out; keys are those of all rows.
+    """
+    spine = rows.select(*keys).distinct().withColumn(period, F.explode(F.array(*[F.lit(p) for p in wanted])))
+    return spine.join(rows, [*keys, period], "left").select(*rows.columns)
+
+
 def region_loss(sales: DataFrame, pre_months: list[str], post_months: list[str]) -> DataFrame:
     """(region, loss): mean monthly revenue over the later months less that over the earlier."""
     monthly = sales.where(F.col("month").isin(pre_months + post_months)).groupBy("region", "month").agg(F.sum("gross_revenue").cast("double").alias("v"))

@@ -69,6 +69,11 @@ def psi_by_key(pairs: DataFrame, keys: list[str], buckets: int = 10) -> DataFram
     return spread.unionByName(constant)
 
 
+def pooled(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, value): the numbers of JSON arrays in a text column, one row each; null or malformed texts and null entries have none."""
+    return rows.select(*keys, F.explode(F.from_json(column, "array<double>")).alias("value")).where("value is not null")
+
+
 def sides(before: DataFrame, after: DataFrame) -> DataFrame:
     """Distinct rows of both tables with a side: both, only_before or only_after."""
     seen = before.distinct().withColumn("__b", F.lit(1)).unionByName(after.distinct().withColumn("__b", F.lit(2)))
@@ -77,7 +82,7 @@ def sides(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def assess_drift(snapshots: DataFrame, run_id: str) -> DataFrame:
-    """(metric, psi, verdict, n_baseline, n_current, mean_baseline, mean_current) of a run against all others, with an overall row of the worst verdict.
+    """(metric, psi, verdict, n_baseline, n_current, mean_baseline, mean_current) of a run against all others, with an overall row of the worst verdict. An infinite index is null beside its verdict.
 
     ``snapshots`` has run_id, created_at and the arrays l1_posteriors, did_effects and did_mdes. With fewer than five
     earlier runs every verdict is UNKNOWN; with enough, unknown metrics, even all of them, don't keep the overall one from being STABLE.
@@ -93,6 +98,7 @@ def assess_drift(snapshots: DataFrame, run_id: str) -> DataFrame:
     means = pairs.groupBy("metric").agg(F.avg(F.when(~F.col("is_current"), F.col("value"))).alias("mean_baseline"), F.avg(F.when(F.col("is_current"), F.col("value"))).alias("mean_current"))
     every = snapshots.sparkSession.createDataFrame([(m,) for m in metrics], "metric string").join(found, "metric", "left").join(means, "metric", "left").join(enough, F.lit(True))
     each = every.select("metric", F.when(F.col("enough"), F.col("psi")).alias("psi"), "n_baseline", "n_current", "mean_baseline", "mean_current").withColumn("verdict", psi_verdict_column(F.col("psi")))
+    each = each.withColumn("psi", F.when(~F.col("psi").isin(math.inf, -math.inf), F.col("psi")))  # told by the verdict alone
     rank = F.when(F.col("verdict") == "SIGNIFICANT_DRIFT", 3).when(F.col("verdict") == "MODERATE_SHIFT", 2).when(F.col("verdict") == "STABLE", 1).otherwise(0)
     overall = each.join(enough, F.lit(True)).agg(F.max_by("verdict", rank).alias("__worst"), F.max("psi").alias("psi"), F.first("enough").alias("enough"))
     overall = overall.withColumn("verdict", F.when(F.col("enough") & (F.col("__worst") == "UNKNOWN"), "STABLE").otherwise(F.col("__worst")))

@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from veridelta.operators.predicate import PredicateRejected, described, validate, validate_semantics
+from veridelta.operators.predicate import Predicate, PredicateRejected, described, validate, validate_semantics
 
 #: Attempts, and hosted prices per 1000 tokens in and out.
 ATTEMPTS, PRICE_IN, PRICE_OUT = 3, 0.003, 0.015
@@ -47,11 +47,11 @@ def challenge_prompt(survivor: dict, context: dict, allowed: dict[str, list[str]
     return json.dumps({"task": "Propose one rival predicate that would explain the movement instead, as JSON.", "survivor": survivor, "movement": context, "dimensions": allowed, "schema": described()}, default=str)
 
 
-def propose(ask: Callable[[str], tuple[str, int, int]] | None, prompt: str, allowed: dict[str, list[str]], attempts: int = ATTEMPTS) -> dict:
+def propose(ask: Callable[[str], tuple[str, int, int]] | None, prompt: str, allowed: dict[str, list[str]], attempts: int = ATTEMPTS, extra: Callable[[Predicate], None] | None = None) -> dict:
     """{predicate, reason, tokens_in, tokens_out, latency_ms, attempts}: the first answer that is valid and fits the data.
 
     ``ask`` returns (answer, tokens in, tokens out); a rejection is told to it in the next attempt. Without a backend
-    there is no predicate, and the reason says so.
+    there is no predicate, and the reason says so. ``extra`` may reject what is otherwise valid.
     """
     if ask is None:
         return {"predicate": None, "reason": "no backend", "tokens_in": 0, "tokens_out": 0, "latency_ms": 0.0, "attempts": 0}
@@ -62,6 +62,8 @@ def propose(ask: Callable[[str], tuple[str, int, int]] | None, prompt: str, allo
         try:
             found = validate(json.loads(answer))
             validate_semantics(found, allowed)
+            if extra is not None:
+                extra(found)
             return {"predicate": found.nested(), "reason": "", "tokens_in": used[0], "tokens_out": used[1], "latency_ms": (time.perf_counter() - start) * 1000, "attempts": k}
         except (PredicateRejected, ValueError) as e:
             reason = str(e)

@@ -56,6 +56,11 @@ def weekly_panel(sales: DataFrame, marketing_weeks: DataFrame, reps: DataFrame,
     )
 
 
+def ordered(panel: DataFrame) -> DataFrame:
+    """A panel in the order of region and week, in ranges, as it is written."""
+    return panel.orderBy("region", "week")
+
+
 def freshness(covers: list[tuple[str, str, DataFrame, Column]], as_of: str) -> DataFrame:
     """(source, refresh_cadence, covered_through, staleness_days) from (source, cadence, rows, date that a row covers to)."""
     out = None

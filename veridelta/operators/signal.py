@@ -114,7 +114,7 @@ def detect(series: DataFrame, hazard: float = HAZARD) -> DataFrame:
 
 
 def gate(results: DataFrame, kpis: DataFrame) -> DataFrame:
-    """Adds both materialities, the gate and a narrative; ``kpis`` has (kpi, pct_threshold, abs_threshold).
+    """Adds both materialities, the gate and a narrative; ``kpis`` has (kpi, pct_threshold, abs_threshold), for a KPI and its parts, as in ``kpi (part)``.
 
     Confidence is rounded to 4 digits half-even for what is shown, but judged as it is.
     """
@@ -122,7 +122,8 @@ def gate(results: DataFrame, kpis: DataFrame) -> DataFrame:
     window = F.when(F.col("period_unit") == "month", RECENT_MONTHS).otherwise(RECENT_WEEKS)
     statistical = (F.col("confidence") > POSTERIOR) & (F.col("tau") > 1) & (F.col("tau") > n - window)
     business = (F.abs("impact_pct") >= F.col("pct_threshold")) | F.coalesce(F.abs("impact_abs") >= F.col("abs_threshold"), F.lit(False))
-    out = results.join(kpis.select("kpi", "pct_threshold", "abs_threshold"), "kpi")
+    limits = kpis.select(F.col("kpi").alias("__of"), "pct_threshold", "abs_threshold")
+    out = results.join(limits, F.regexp_replace("kpi", r" \(.*\)$", "") == F.col("__of")).drop("__of")
     out = out.withColumn("statistical_materiality", statistical).withColumn("business_materiality", business)
     out = out.withColumn("gate_passed", F.col("statistical_materiality") & F.col("business_materiality") & ~F.col("sparse_history"))
     told = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from veridelta.operators.reconcile import mature
 from veridelta.sources.tables import is_missing
 
 #: Declared schemas of the sources, as DDL.
@@ -58,7 +59,13 @@ def write_artifact(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def register_views(sources: dict[str, DataFrame]) -> None:
-    """The views that compiled predicates may read."""
+def register_views(sources: dict[str, DataFrame], min_weeks: int | None = None) -> None:
+    """The views that compiled predicates may read.
+
+    With ``min_weeks`` the sales are those of mature categories, by the one rule that panels use as well, so that no predicate sees a
+    category that a panel leaves out.
+    """
     for name, df in sources.items():
+        if min_weeks is not None and name == "pos_transactions":
+            df = mature(df, min_weeks)
         df.createOrReplaceTempView(name)
