@@ -85,7 +85,20 @@ def cluster_texts(rows: DataFrame, group: str, key: str, embedding: str, thresho
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
     distinct = clean.groupBy("g", "vh").agg(F.first("v").alias("v"), F.min("k").alias("c"), F.count("*").cast("double").alias("w"))
     unit = F.transform("v", lambda x: x.cast("double") * F.col("w") / F.when(norm > 0, norm).otherwise(1.0))
-    state = materialize(distinct.select("g", "vh", "c", unit.alias("s"), "w"), "clusters")
+    given = distinct.select("g", "vh", "c", unit.alias("s"), "w")
+
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("c", ignore_index=True)
+        last = agglomerate(np.stack([np.asarray(s, np.float64) for s in frame["s"]]), frame["w"].to_numpy(), threshold)
+        named = frame["vh"] if "vh" in frame else frame["c"]
+        return pd.DataFrame({"g": frame["g"], named.name: named, "cluster": frame["c"].to_numpy()[last]})
+
+    def told(named: DataFrame) -> DataFrame:
+        return clean.select("g", "k", "vh").join(named, ["g", "vh"]).select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
+
+    if clean.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > cell).isEmpty():  # no group asks for rounds, and nothing needs to be written
+        return told(given.groupBy("g").applyInPandas(finish, f"g {kind[0]}, vh long, cluster {kind[1]}"))
+    state = materialize(given, "clusters")
     label = state.select("g", "vh", "c")
     clusters, done = state.drop("vh"), None
     while True:
@@ -104,15 +117,10 @@ def cluster_texts(rows: DataFrame, group: str, key: str, embedding: str, thresho
         clusters = materialize(moved.groupBy("g", "c").agg(total.alias("s"), F.sum("w").alias("w")), "clusters")
         label = materialize(label.join(merged, ["g", "c"], "left").select("g", "vh", F.coalesce("into", "c").alias("c")), "labels")
 
-    def finish(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("c", ignore_index=True)
-        last = agglomerate(np.stack([np.asarray(s, np.float64) for s in frame["s"]]), frame["w"].to_numpy(), threshold)
-        return pd.DataFrame({"g": frame["g"], "c": frame["c"], "cluster": frame["c"].to_numpy()[last]})
-
     rest = clusters if done is None else clusters.join(done, "g", "left_anti")
     ends = rest.groupBy("g").applyInPandas(finish, f"g {kind[0]}, c {kind[1]}, cluster {kind[1]}")
     named = label.join(ends, ["g", "c"], "left").select("g", "vh", F.coalesce("cluster", "c").alias("cluster"))
-    return clean.select("g", "k", "vh").join(named, ["g", "vh"]).select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
+    return told(named)
 
 
 def matching(rows: DataFrame, terms: str, keywords: list[str]) -> DataFrame:
