@@ -280,6 +280,18 @@ def test_url_rules(spark):
     assert urlfilter.judge(pages.where("false"), ["net/"], []).count() == 0
     with pytest.raises(ValueError):
         urlfilter.judge(pages, ["net"], [])
+    tables = [spark.createDataFrame([(r,) for r in rules], "rule string") for rules in (["net/", "Example.com/de/", None, "net/"], ["example.net/en/", "org/fr/"])]
+    again = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, *tables).collect()}
+    assert again == got
+    none = urlfilter.judge(pages, tables[0].limit(0), [])
+    assert {r["verdict"] for r in none.collect()} == {"allow"} and none.where("rule is not null").count() == 0
+
+
+def test_lists_beyond_the_bound_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "MOST_BITS", 1)
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(URLS + URLS[:3])] + [(None, URLS[0], "x", 1)], "page_id long, url string, row_number string, found long")
+    got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]).collect()]
+    assert order(got) == order([(i, *plain_verdict(u)) for i, u in enumerate(URLS + URLS[:3])] + [(None, *plain_verdict(URLS[0]))])
 
 
 def test_cascade_is_exact(spark):
@@ -295,7 +307,8 @@ def test_cascade_is_exact(spark):
 def test_queries_against_sql(spark, tmp_path, name):
     queries.QUERIES[name](spark, SF).write.parquet(f"{tmp_path}/out")
     con = duckdb.connect()
-    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+    for t in ("pages", "documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     ours = con.sql(f"select * from '{tmp_path}/out/*.parquet'")
     columns = ", ".join(sorted(ours.columns))
     a, b = (con.sql(f"select {columns} from ({q})").fetchall() for q in (f"select * from '{tmp_path}/out/*.parquet'", queries.ORACLE[name]))

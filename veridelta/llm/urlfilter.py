@@ -79,12 +79,26 @@ def hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
 
 
+class FilterTooLarge(ValueError):
+    """What would be sent to every task is beyond MOST_BITS."""
+
+
+def filter_bits(count: int, rate: float) -> int:
+    """Bits of a filter of so many keys at a false-positive rate."""
+    return max(64, ceil(-count * log(min(0.5, max(rate, 1e-12))) / log(2) ** 2))
+
+
+def first_rate(count: int, total: int) -> float:
+    """The false-positive rate of a cascade's first filter: about as many pass wrongly as are listed."""
+    return sqrt(0.5) * count / total
+
+
 def build_bloom(keys: DataFrame, count: int, rate: float, level: int) -> Bloom:
     """A filter of the (a, b) rows with about this false-positive rate; the words are put together by Spark."""
     rate = min(0.5, max(rate, 1e-12))
-    size = max(64, ceil(-count * log(rate) / log(2) ** 2))
+    size = filter_bits(count, rate)
     if size > MOST_BITS:
-        raise ValueError(f"a filter of {size} bits is beyond the bound of {MOST_BITS}")
+        raise FilterTooLarge(f"a filter of {size} bits is beyond the bound of {MOST_BITS}")
     k = max(1, round(-log(rate) / log(2)))
 
     def bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +156,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
     def passing(rows: DataFrame, level: Bloom) -> DataFrame:
         return rows.where(member(rows.sparkSession, Cascade((level,)))(F.array("a"), F.array("b")) == 1)
 
-    levels.append(build_bloom(listed, n, sqrt(0.5) * n / total, 0))
+    levels.append(build_bloom(listed, n, first_rate(n, total), 0))
     wrong = materialize(passing(universe, levels[0]).distinct().join(listed, ["a", "b"], "left_anti"), "false-positives")
     inside, outside = listed, wrong
     while True:
@@ -177,33 +191,62 @@ def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Colum
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(longest_first, lambda s: s["key"]))
 
 
-def judge(pages: DataFrame, block: list[str], allow: list[str], page_id: str = "page_id", url: str = "url") -> DataFrame:
+def rule_table(spark: SparkSession, rules: list[str] | DataFrame) -> DataFrame:
+    """(rule, bad) of a list or of a table's column ``rule``, hosts lower-cased; ``bad`` tells rules without a host or a slash. Null rules are left out."""
+    given = rules if isinstance(rules, DataFrame) else spark.createDataFrame([(r,) for r in rules], "rule string")
+    cut = F.instr("rule", "/")
+    host = F.lower(F.substring(F.col("rule"), F.lit(1), cut - 1))
+    whole = F.concat(host, F.substring(F.col("rule"), cut, F.length("rule")))
+    return given.where("rule is not null").select(F.when(cut > 1, whole).otherwise(F.col("rule")).alias("rule"), (cut < 2).alias("bad")).distinct()
+
+
+def first_by_cascade(rows: DataFrame, universe: DataFrame, listed: DataFrame, out: str) -> DataFrame:
+    """Adds the place of each row's first listed key, or 0, by a cascade that is sent to the tasks."""
+    pair = [F.transform("keys", lambda k: hashes(k)[0]), F.transform("keys", lambda k: hashes(k)[1])]
+    return rows.withColumn(out, member(rows.sparkSession, build_cascade(universe, listed))(*pair))
+
+
+def first_by_join(rows: DataFrame, listed: DataFrame, out: str) -> DataFrame:
+    """The same for lists whose filter is beyond what may be sent: keys meet the list where both hashes are dealt to.
+
+    A page's keys go without its columns, and distinct keys meet the list once, so that a frequent key is one row.
+    """
+    a, b = hashes(F.col("k"))
+    keyed = rows.select(F.explode("keys").alias("k")).distinct().select("k", a.alias("a"), b.alias("b"))
+    hit = keyed.join(listed.distinct(), ["a", "b"], "left_semi").select("k")
+    named = rows.withColumn("row_number", F.monotonically_increasing_id())
+    named = materialize(named, "pages-with-keys")
+    at = named.select("row_number", F.posexplode("keys").alias("i", "k")).join(hit, "k").groupBy("row_number").agg((F.min("i") + 1).cast("int").alias("found"))
+    return named.join(at, "row_number", "left").withColumn(out, F.coalesce("found", F.lit(0))).drop("row_number", "found")
+
+
+def judge(pages: DataFrame, block: list[str] | DataFrame, allow: list[str] | DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages; rules are written host/path, as in ``example.org/fr/``.
 
-    A rule fits its host and all hosts below it, if the URL's path starts with the rule's path. The longest rule that
-    fits decides; of a rule that is both blocked and allowed, the allowance. A URL that no rule fits is allowed. A null
-    URL, or one without ``://``, has an empty host and path, and is allowed. Rules without a host or a slash are an error.
+    Rules are lists, or tables with a column ``rule``. A rule fits its host and all hosts below it, if the URL's path starts with the rule's path. The
+    longest rule that fits decides; of a rule that is both blocked and allowed, the allowance. A URL that no rule fits is allowed. A null
+    URL, or one without ``://``, has an empty host and path, and is allowed. Rules without a host or a slash are an error. A list whose
+    filter would be beyond MOST_BITS, some twenty million rules, is joined instead, with the same result.
     """
     spark = pages.sparkSession
-    for rule in [*block, *allow]:
-        if "/" not in rule.strip("/") + "/" or not rule.split("/")[0] or "/" not in rule:
-            raise ValueError(f"a rule is host/path: {rule!r}")
-    rules = [r.split("/", 1)[0].lower() + "/" + r.split("/", 1)[1] for r in [*block, *allow]]
-    allowed = set(rules[len(block) :])
-    lengths = sorted({len(r) - r.index("/") for r in rules})
+    tables = {"bad": rule_table(spark, block), "good": rule_table(spark, allow)}
+    every = materialize(tables["bad"].withColumn("kind", F.lit("bad")).unionByName(tables["good"].withColumn("kind", F.lit("good"))), "url-rules")
+    wrong = every.where("bad").select("rule").limit(1).collect()
+    if wrong:
+        raise ValueError(f"a rule is host/path: {wrong[0][0]!r}")
+    lengths = sorted(r[0] for r in every.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().collect())  # lengths of paths: as many as a URL is long at most
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths or [1]))
-    one = rows.select(F.explode("keys").alias("key"))
     a, b = hashes(F.col("key"))
-    universe = one.select(a.alias("a"), b.alias("b"))
-
-    def listed(names: list[str]) -> DataFrame:
-        return spark.createDataFrame([(n,) for n in names], "key string").select(a.alias("a"), b.alias("b"))
-
-    blocking = build_cascade(universe, listed([r for r in rules[: len(block)] if r not in allowed]))
-    allowing = build_cascade(universe, listed(sorted(allowed)))
-    pair = [F.transform("keys", lambda k: hashes(k)[0]), F.transform("keys", lambda k: hashes(k)[1])]
-    found = rows.withColumn("bad", member(spark, blocking)(*pair)).withColumn("good", member(spark, allowing)(*pair))
+    universe = rows.select(F.explode("keys").alias("key")).select(a.alias("a"), b.alias("b"))
+    good = every.where("kind = 'good'").select("rule")
+    found = rows
+    for name, named in (("bad", every.where("kind = 'bad'").select("rule").join(good, "rule", "left_anti")), ("good", good)):
+        listed = named.select(F.col("rule").alias("key")).select(a.alias("a"), b.alias("b"))
+        try:
+            found = first_by_cascade(found, universe, listed, name)
+        except FilterTooLarge:  # told before a filter is begun
+            found = first_by_join(found, listed, name)
     at = F.when(F.col("bad") == 0, F.col("good")).when(F.col("good") == 0, F.col("bad")).otherwise(F.least("bad", "good"))
     return found.withColumn("at", at).select(
         "page_id", "host", "path",
