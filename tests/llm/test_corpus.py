@@ -231,6 +231,24 @@ def test_quality_edges(spark, odd_docs, no_docs):
     assert quality.scored(no_docs, labels).count() == 0
 
 
+def test_prior_of_known_mixtures():
+    """From scores of positives and of a mixture alone; negatives that score as positives do can only be told apart where they don't."""
+    rng = np.random.default_rng(1)
+    bins = lambda x: np.histogram(x, quality.BINS, (0, 1))[0].astype(float)
+    for share in (0.1, 0.5, 0.9):
+        n = int(20000 * share)
+        mixture = np.r_[rng.beta(8, 2, n), rng.beta(2, 8, 20000 - n)]
+        assert quality.estimate_prior(bins(rng.beta(8, 2, 3000)), bins(mixture)) == pytest.approx(share, abs=0.05)
+    assert quality.estimate_prior(bins(np.full(5, 0.5)), bins(np.full(9, 0.5))) == 0.99 and quality.estimate_prior(np.zeros(quality.BINS), np.zeros(quality.BINS)) == 0.99
+
+
+def test_negative_labels_change_nothing(spark, odd_docs):
+    """The prior is estimated from positives and all documents, so labels of 0 may be there or not."""
+    labels = spark.createDataFrame([(1, 1), (2, 1), (6, 0), (8, 1), (9, 0), (8, 0)], "doc_id long, quality int")
+    score = lambda some: sorted((str(r["doc_id"]), round(r["score"], 9)) for r in quality.scored(odd_docs, some).collect())
+    assert score(labels) == score(labels.where("quality = 1"))
+
+
 def test_non_negative_risk():
     """Against a plain minimiser: no step in any direction lowers the risk, whether its negative part is above, at or below zero."""
     rng = np.random.default_rng(0)

@@ -1,6 +1,6 @@
 """A quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives and the unlabelled corpus are all that is learnt from. With squared loss, the unbiased risk
+Trusted positives and the unlabelled corpus are all that is learnt from, the class prior included. With squared loss, the unbiased risk
 
     R(w) = -prior * E_P[z] + E_U[(1 + z)^2] / 4,    z = w.x
 
@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 
 from .common import materialize, tune
 
-#: The most trusted positives, and rows that the prior is estimated from, that a fit uses; chosen by the smallest hash of doc_id.
+#: Trusted positives that a fit uses, about, of more; chosen by the hash of doc_id.
 LABELLED_BOUND = 2_000_000
+#: The class prior that the first fit supposes, rounds of fit and estimate, parts of the score, and the share of positives that a threshold must keep.
+FIRST_PRIOR, ROUNDS, BINS, KEPT = 0.5, 2, 200, 0.6
 #: Ridge added to the second moments.
 RIDGE = 1e-4
 #: Characters and words of plain prose that every text's shares are smoothed with.
@@ -146,22 +148,51 @@ def solve(prior: float, positive: np.ndarray, positive_square: np.ndarray, mean:
 def fit(rows: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", label: str = "quality", bound: int = LABELLED_BOUND) -> QualityModel:
     """Fits on (doc_id, x) rows: all of them are the unlabelled set; trusted positives are training labels of 1.
 
-    ``train`` says of a doc_id whether its label may be looked at. The class prior is the share of positives among
-    the labels that may be. No negative enters the risk. Null labels and null ids are passed over; the labels of a
-    repeated id count once, as the largest. Without any positive the model scores 0.5 everywhere.
+    ``train`` says of a doc_id whether its label may be looked at. The class prior is estimated from the positives and
+    the unlabelled set alone, by ``estimate_prior``; no label of 0 is used for anything. Null labels and null ids are passed over; of a repeated
+    id one positive label is enough. Without any positive the model scores 0.5 everywhere. Of more positives than ``bound``, about so many are used, those of
+    the smallest hashes.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).where(train).groupBy("__id").agg(F.max("__label").alias("__label"))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(bound)
-    total, ones = known.agg(F.count("*"), F.sum("__label")).first()
-    if not total or not ones:
+    known = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).where(train).distinct()
+    total = known.count()
+    if not total:
+        return QualityModel(np.zeros(len(NAMES)), 0.0)
+    if total > bound:
+        known = known.where(F.shiftrightunsigned(F.xxhash64("__id"), 11) < F.lit(int(bound / total * (1 << 53))))
+    trusted = rows.join(known, F.col("doc_id") == F.col("__id"))
+    found, positive, positive_square = moments(trusted)
+    if not found:
         return QualityModel(np.zeros(len(NAMES)), 0.0)
-    prior = min(max(ones / total, 0.01), 0.99)
-    one_each = rows.join(known.where("__label = 1"), F.col("doc_id") == F.col("__id"))
-    _, positive, positive_square = moments(one_each)
     _, mean, square = moments(rows)
+    prior = FIRST_PRIOR
+    for _ in range(ROUNDS):
+        model = QualityModel(solve(prior, positive, positive_square, mean, square), prior)
+        prior = estimate_prior(histogram(trusted, model), histogram(rows, model))
     return QualityModel(solve(prior, positive, positive_square, mean, square), prior)
 
 
+def histogram(rows: DataFrame, model: QualityModel) -> np.ndarray:
+    """How many rows have a score in each of BINS equal parts from 0 to 1."""
+    part = F.least(F.floor(model.score(F.col("x")) * BINS), F.lit(BINS - 1)).cast("int")
+    out = np.zeros(BINS)
+    for r in rows.groupBy(part.alias("bin")).agg(F.count("*").alias("n")).collect():  # BINS rows
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def estimate_prior(positive: np.ndarray, every: np.ndarray) -> float:
+    """The share of positives among all rows, from histograms of a score over trusted positives and over all rows.
+
+    Above any threshold there are at least as many rows as the positives among them, so the share of all rows above it, over the share of positives above it,
+    is never less than the prior, and is the prior where no negative scores so high. The smallest such ratio is taken over thresholds that
+    most positives (KEPT) exceed, where their share is certain.
+    """
+    above = lambda counts: counts[::-1].cumsum()[::-1] / max(1.0, counts.sum())
+    p, u = above(positive), above(every)
+    ratios = u[p >= KEPT] / p[p >= KEPT]
+    return float(min(max(ratios.min(initial=1.0), 0.01), 0.99))
+
+
 def in_training(doc_id: Column) -> Column:
     """The fold whose labels may be learnt from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
