@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridelta.operators import joins, lattice, sketches
@@ -16,8 +16,12 @@ from veridelta.streaming import gate
 from .registry import register
 
 PRE, POST = (180, 182), (184, 186)
-#: An event's time in microseconds, whatever the session's time zone.
-MICROS = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+
+
+def micros() -> Column:
+    """An event's time in microseconds, whatever the session's time zone."""
+    return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+
 
 BALANCED_SQL = f"""
 {SALES_SQL}, {LEDGER_SQL},
@@ -59,7 +63,7 @@ others as (select event_id, user_id as who, event_type, cast(value as decimal(18
 
 def _incidents(spark: SparkSession, sf_dir: str, unit: int) -> tuple[DataFrame, DataFrame]:
     """Other events, and each error's window: as many units of seconds as its value says, from no time to days."""
-    events = table(spark, sf_dir, "events").withColumn("at", MICROS)
+    events = table(spark, sf_dir, "events").withColumn("at", micros())
     errors = events.where("event_type = 'error'").select(F.col("event_id").alias("incident"), "user_id", F.col("at").alias("begun"), (F.col("at") + F.round(F.col("value") * unit).cast("bigint") * 1_000_000).alias("over"))
     return events.where("event_type <> 'error'").select("event_id", "user_id", "event_type", F.col("value").cast("decimal(18,4)").alias("value"), "at"), errors
 
@@ -109,7 +113,7 @@ select event_id, f.user_id, bought, moment - bought_at as micros_since from faul
 """)
 def asof_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every error with its user's last purchase before it, however long ago."""
-    events = table(spark, sf_dir, "events").withColumn("at", MICROS)
+    events = table(spark, sf_dir, "events").withColumn("at", micros())
     bought = events.where("event_type = 'purchase'").select("user_id", F.col("at").alias("bought_at"), F.col("value").alias("bought"))
     found = joins.asof_join(events.where("event_type = 'error'").select("event_id", "user_id", "at"), bought, "at", "bought_at", ["user_id"])
     return found.select("event_id", "user_id", "bought", joins.age_of(F.col("at"), F.col("bought_at")).alias("micros_since"))
@@ -190,7 +194,7 @@ def streaming_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may name a file as well as a folder
-        closed = gate.gate_stream(stream.withColumn("ts", F.timestamp_micros(MICROS)), "event_type", "ts", "value", (50.0, 1.0, 2.0, 100.0), seconds=86400)
+        closed = gate.gate_stream(stream.withColumn("ts", F.timestamp_micros(micros())), "event_type", "ts", "value", (50.0, 1.0, 2.0, 100.0), seconds=86400)
         closed.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
     finally:
         for k, v in before.items():
