@@ -96,6 +96,10 @@ def test_clusters(spark):
     for cell, block in ((10, 16), (25, 2048)):  # groups over the cell, in rounds and blocks, as whole
         assert sorted((r["g"], r["id"], r["cluster"]) for r in topics.cluster_texts(frame, "g", "id", "v", threshold=0.4, cell=cell, block=block).collect()) == whole
     assert 4 < len({c for _, _, c in whole}) < 60
+    chain = [(i, "g", [float(np.cos(0.3 * i)), float(np.sin(0.3 * i))]) for i in range(18)]  # each is near the next alone: one part, cut by the rounds
+    frame = spark.createDataFrame(chain, "id int, g string, v array<double>")
+    ends = [sorted((r["id"], r["cluster"]) for r in topics.cluster_texts(frame, "g", "id", "v", threshold=0.1, **size).collect()) for size in ({}, {"cell": 5, "block": 4})]
+    assert ends[0] == ends[1] and len({c for _, c in ends[0]}) > 2
     assert topics.agglomerate(np.array([[1.0, 0], [0.9, 0.1], [0, 1]]), np.ones(3), 0.65).tolist() == [0, 0, 2]
 
 

@@ -17,6 +17,8 @@ DISTANCE, SMALLEST, TERMS = 0.65, 3, 6
 CELL = 1500
 #: Clusters in a block, when a larger group's nearest neighbours are looked for.
 BLOCK = 2048
+#: Cosines that differ by no more may be rounded apart.
+ROUNDING = 1e-9
 
 
 def agglomerate(sums: np.ndarray, weights: np.ndarray, threshold: float) -> np.ndarray:
@@ -46,14 +48,63 @@ def agglomerate(sums: np.ndarray, weights: np.ndarray, threshold: float) -> np.n
     return label
 
 
-def _nearest(clusters: DataFrame, blocks: DataFrame, kind: tuple[str, str], threshold: float, block: int) -> DataFrame:
-    """(g, c, n): the nearest other cluster of each within the threshold, of equals the pair with the smallest ids; by pairs of blocks."""
+def _dealt(clusters: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(g, c, s, w, b, b1, b2): each cluster of a large group in its block, once for every pair of blocks that this is in."""
     own = F.pmod(F.xxhash64("c"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, own).alias("b1"), F.greatest(j, own).alias("b2")))
-    dealt = clusters.join(blocks, "g").withColumn("b", own).withColumn("p", F.explode(pairs)).select("g", "c", "s", "w", "b", "p.b1", "p.b2")
+    return clusters.join(blocks, "g").withColumn("b", own).withColumn("p", F.explode(pairs)).select("g", "c", "s", "w", "b", "p.b1", "p.b2")
+
+
+def _means(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack([np.asarray(s) for s in frame["s"]]) / frame["w"].to_numpy()[:, None]
+
+
+def joined_within(close: np.ndarray) -> np.ndarray:
+    """The smallest place that each is joined to by a symmetric matrix of what is close."""
+    label = np.arange(len(close), dtype=np.int32)
+    while True:
+        low = np.where(close, label[None, :], np.int32(len(close))).min(axis=1, initial=len(close))
+        low = np.minimum(label, low)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _reachable(clusters: DataFrame, blocks: DataFrame, kind: tuple[str, str], threshold: float) -> DataFrame:
+    """(g, c, part): the parts of each large group that are joined by pairs within the threshold, named by their smallest c.
+
+    Average linkage never merges beyond a part: two clusters within the threshold on average have a pair that is. Each pair of blocks is
+    compared once and gives at most one link for each cluster; links become parts by handing on the smallest name, twice as far each round.
+    """
+
+    def look(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("c", ignore_index=True)
+        mean, name = _means(frame), frame["c"].to_numpy()
+        label = joined_within(mean @ mean.T >= 1 - threshold - ROUNDING)
+        moved = np.flatnonzero(label != np.arange(len(frame)))
+        return pd.DataFrame({"g": frame["g"].to_numpy()[moved], "c": name[moved], "n": name[label[moved]]})
+
+    links = _dealt(clusters, blocks).groupBy("g", "b1", "b2").applyInPandas(look, f"g {kind[0]}, c {kind[1]}, n {kind[1]}")
+    links = materialize(links.unionByName(links.select("g", F.col("n").alias("c"), F.col("c").alias("n"))).distinct(), "links")
+    part = materialize(links.groupBy("g", "c").agg(F.least(F.min("n"), F.first("c")).alias("part")), "parts")
+    while True:
+        near = links.join(part.select("g", F.col("c").alias("n"), F.col("part").alias("other")), ["g", "n"]).groupBy("g", "c").agg(F.min("other").alias("other"))
+        low = part.join(near, ["g", "c"]).select("g", "c", "part", F.least("part", "other").alias("to"))
+        jump = low.select("g", F.col("c").alias("to"), F.col("to").alias("next"))  # where the new name's own cluster has come to
+        after = low.join(jump, ["g", "to"], "left").select("g", "c", F.least("to", F.coalesce("next", "to")).alias("part"), (F.least("to", F.coalesce("next", "to")) != F.col("part")).alias("moved"))
+        after = materialize(after, "parts")
+        if after.where("moved").isEmpty():
+            return after.select("g", "c", "part")
+        part = after.select("g", "c", "part")
+
+
+def _nearest(clusters: DataFrame, blocks: DataFrame, kind: tuple[str, str], threshold: float, block: int) -> DataFrame:
+    """(g, c, n): the nearest other cluster of each within the threshold, of equals the pair with the smallest ids; by pairs of blocks."""
+    dealt = _dealt(clusters, blocks)
 
     def look(frame: pd.DataFrame) -> pd.DataFrame:
-        name, mean = frame["c"].to_numpy(), np.stack([np.asarray(s) for s in frame["s"]]) / frame["w"].to_numpy()[:, None]
+        name, mean = frame["c"].to_numpy(), _means(frame)
         left, right = (np.flatnonzero(frame["b"].to_numpy() == frame[b].iloc[0]) for b in ("b1", "b2"))
         out = []
         for mine, others in ((left, right), (right, left))[: 1 if frame["b1"].iloc[0] == frame["b2"].iloc[0] else 2]:
@@ -74,11 +125,12 @@ def _nearest(clusters: DataFrame, blocks: DataFrame, kind: tuple[str, str], thre
 def cluster_texts(rows: DataFrame, group: str, key: str, embedding: str, threshold: float = DISTANCE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """(group, key, cluster): average-linkage clusters within each group; a cluster's id is its smallest key.
 
-    With the sums of unit vectors the average cosine of two clusters is exact, and clusters that are each other's nearest
-    may be merged in any order. So a group of more than ``cell`` clusters is merged in rounds, all such pairs at a time, until
-    few enough are left for one task or none is near enough; the clusters are those of the whole group at any size. A round
-    compares a group's clusters by pairs of blocks, with one nearest for each, so its cost grows with the square of a
-    group, its memory with the block. Equal vectors count once, with their number as weight. Zero vectors are 1 apart from all.
+    A group of more than ``cell`` distinct vectors is first cut into the parts that pairs within the threshold join, by one comparison of its blocks: no cluster
+    reaches beyond one, so a part of up to ``cell`` is one task's work. With the sums of unit vectors the average cosine of two clusters is
+    exact, and clusters that are each other's nearest may be merged in any order; so a larger part is merged in rounds, all such pairs at a
+    time, until few enough are left for one task or none is near enough. The clusters are those of the whole group at any size. Comparing by
+    pairs of blocks costs the square of a group once, and that of a larger part each round; its memory is the block's. Equal
+    vectors count once, with their number as weight. Zero vectors are 1 apart from all.
     """
     clean = rows.where(F.col(embedding).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(embedding).alias("v")).withColumn("vh", F.xxhash64("v"))
     kind = dict(clean.dtypes)["g"], dict(clean.dtypes)["k"]
@@ -98,9 +150,17 @@ def cluster_texts(rows: DataFrame, group: str, key: str, embedding: str, thresho
 
     if clean.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > cell).isEmpty():  # no group asks for rounds, and nothing needs to be written
         return told(given.groupBy("g").applyInPandas(finish, f"g {kind[0]}, vh long, cluster {kind[1]}"))
-    state = materialize(given, "clusters")
+    whole = materialize(given, "clusters")
+    large = whole.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("g", F.ceil(F.col("n") / block).cast("int").alias("k"))
+    parts = _reachable(whole.drop("vh"), materialize(large, "large-groups"), kind, threshold)
+    # a part is a group of its own from here on, named by group and part
+    name = F.concat_ws(" ", F.length(F.col("g").cast("string")).cast("string"), F.col("g").cast("string"), F.coalesce("part", "c").cast("string"))
+    small = whole.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= cell).select("g", F.lit("").alias("all"))
+    state = whole.join(parts, ["g", "c"], "left").join(small, "g", "left").select(F.col("g").alias("of"), F.when(F.col("all").isNotNull(), F.concat(F.lit("* "), F.col("g").cast("string"))).otherwise(name).alias("g"), "vh", "c", "s", "w")
+    state = materialize(state, "clusters")
+    kind = "string", kind[1]
     label = state.select("g", "vh", "c")
-    clusters, done = state.drop("vh"), None
+    clusters, done = state.drop("vh", "of"), None
     while True:
         large = clusters.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("g", F.ceil(F.col("n") / block).cast("int").alias("k"))
         large = materialize(large if done is None else large.join(done, "g", "left_anti"), "large-groups")
@@ -120,7 +180,7 @@ def cluster_texts(rows: DataFrame, group: str, key: str, embedding: str, thresho
     rest = clusters if done is None else clusters.join(done, "g", "left_anti")
     ends = rest.groupBy("g").applyInPandas(finish, f"g {kind[0]}, c {kind[1]}, cluster {kind[1]}")
     named = label.join(ends, ["g", "c"], "left").select("g", "vh", F.coalesce("cluster", "c").alias("cluster"))
-    return told(named)
+    return told(named.join(state.select("g", "vh", "of"), ["g", "vh"]).select(F.col("of").alias("g"), "vh", "cluster"))
 
 
 def matching(rows: DataFrame, terms: str, keywords: list[str]) -> DataFrame:
