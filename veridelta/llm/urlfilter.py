@@ -137,7 +137,7 @@ def member(spark: SparkSession, cascade: Cascade):
                 out[r] = p
         return pd.Series(out)
 
-    return first
+    return first.asNondeterministic()  # evaluated where it stands: a filter on the verdict isn't moved into it
 
 
 def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
