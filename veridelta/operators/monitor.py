@@ -127,8 +127,11 @@ def reliability(predictions: DataFrame, bins: int = 5) -> DataFrame:
 
 
 def isotonic(predictions: DataFrame, points: int = 11) -> DataFrame | None:
-    """(raw, recalibrated): the monotone fit of outcomes on predictions at equally spaced points; None below three rows."""
-    rows = predictions.select(F.col("predicted").cast("double").alias("predicted"), F.col("outcome").cast("double").alias("label"))
+    """(raw, recalibrated): the monotone fit of outcomes on predictions at equally spaced points; None below three rows.
+
+    The fit pools neighbours on the driver, so predictions are first rounded to a thousandth: however many rows there are, it gets 1,001 sums at most.
+    """
+    rows = predictions.select(F.round(F.col("predicted").cast("double"), 3).alias("predicted"), F.col("outcome").cast("double").alias("label"))
     if rows.limit(3).count() < 3:
         return None
     grouped = rows.groupBy("predicted").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))

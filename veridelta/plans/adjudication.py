@@ -205,10 +205,25 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjudicate.dose_response(rounded).select("n", F.round("rho", 6).alias("rho"), F.round("mde_rho", 6).alias("mde_rho"))
 
 
-@register("dose_response")
+#: Two-sided p of Student's t by its finite series in the angle's sine and cosine, for odd and for even degrees of freedom.
+T_SQL = """
+case when v % 2 = 1 then 1 - abs(2 / pi() * (angle + sin(angle) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2), lambda k:
+  exp(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln(2 * j / (2 * j + 1.0)))), 0)) * pow(cos(angle), 2 * k + 1))), 0)))
+else 1 - abs(sin(angle) * list_sum(list_transform(range(0, v // 2), lambda k: exp(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln((2 * j - 1) / (2.0 * j)))), 0)) * pow(cos(angle), 2 * k)))) end
+"""
+
+
+@register("dose_response", f"""
+with {STRATA_SQL}, k as (select rank() over (order by round(dose, 12)) + (count(*) over (partition by round(dose, 12)) - 1) / 2.0 as a, rank() over (order by round(outcome, 12)) + (count(*) over (partition by round(outcome, 12)) - 1) / 2.0 as b from st),
+r as (select count(*) as n, corr(a, b) as rho, count(*) - 2 as v from k), t as (select *, atan(rho * sqrt(v / (1 - rho * rho)) / sqrt(v)) as angle, case when n > 3 then tanh((1.959963984540054 + 0.8416212335729143) / sqrt(n - 3.0)) end as reach from r),
+q as (select *, {T_SQL} as p from t)
+select n, round(rho, 6) as rho, round(p, 6) as p, round(reach, 6) as mde_rho, case when n < 6 then 'INCONCLUSIVE' when rho > 0 and p < 0.05 then 'SURVIVED' when reach > 0.5 then 'INCONCLUSIVE' else 'KILLED' end as verdict from q
+""")
 def dose_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on the strata; Student's t is beyond SQL."""
-    return adjudicate.dose_response(strata(spark, sf_dir))
+    """The correlation of dose and outcome over strata, its p and the verdict."""
+    rounded = strata(spark, sf_dir).withColumn("dose_change", F.round("dose_change", 12)).withColumn("outcome_change", F.round("outcome_change", 12))
+    found = adjudicate.dose_response(rounded)
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("rho", "p", "mde_rho")], "verdict")
 
 
 @register("precedence", """

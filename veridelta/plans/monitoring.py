@@ -39,13 +39,34 @@ def spine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.weekly_counts(ticket_rows(spark, sf_dir), ["region", "topic"], 52)
 
 
-@register("topic_onsets")
+@register("topic_onsets", f"""
+with recursive {TICKETS_SQL}, keys as (select distinct region, topic from tickets), c as (select region, topic, week, count(*) as n from tickets group by all),
+s as (select keys.region || '/' || keys.topic as series, keys.region, keys.topic, w as t, coalesce(n, 0)::double as x from keys cross join range(1, 53) r(w) left join c on c.week = w and c.region = keys.region and c.topic = keys.topic),
+p as (select series, avg(x) as mu0, greatest(var_pop(x), 1e-6) as beta0 from s group by series),
+run as (
+  select series, 0::bigint as t, [1.0::double] as w, [mu0] as mu, [beta0] as beta, 0.0::double as first from p
+  union all
+  select q.series, q.t + 1, list_transform(q.nw, lambda v: v / list_sum(q.nw)),
+    list_concat([q.mu0], list_transform(range(1, len(q.mu) + 1), lambda i: (i * q.mu[i] + q.x) / (i + 1))),
+    list_concat([q.beta0], list_transform(range(1, len(q.mu) + 1), lambda i: q.beta[i] + i * (q.x - q.mu[i]) ** 2 / (2 * (i + 1)))), q.nw[2] / list_sum(q.nw)
+  from (
+    select r.*, s.x, p.mu0, p.beta0, list_concat([list_sum(j.v) / 10.0], list_transform(j.v, lambda y: y * (1 - 1 / 10.0::double))) as nw
+    from run r join s on s.series = r.series and s.t = r.t + 1 join p on p.series = r.series,
+    lateral (select list_transform(range(1, len(r.w) + 1), lambda i: r.w[i] * exp(lgamma(2 + (i - 1) / 2.0 + 0.5) - lgamma(2 + (i - 1) / 2.0))
+        / sqrt(2 * (2 + (i - 1) / 2.0) * pi() * (r.beta[i] * (i + 1) / ((2 + (i - 1) / 2.0) * i)))
+        * pow(1 + pow(s.x - r.mu[i], 2) / (2 * (2 + (i - 1) / 2.0) * (r.beta[i] * (i + 1) / ((2 + (i - 1) / 2.0) * i))), -(2 + (i - 1) / 2.0 + 0.5))) as v) j) q),
+best as (select series, arg_max(t, struct_pack(f := round(first, 12), t := -t)) as tau, max(first) as confidence from run where t >= 2 group by series),
+sizes as (select region, topic, count(*) as n_texts from tickets group by all)
+select region, topic, cast(tau as integer) as tau, round(confidence, 6) as confidence, n_texts, 30 as kpi_onset, tau <= 30 as precedes_kpi, confidence > 0.6 and tau > 1 and tau <= 30 as became_candidate,
+  case when confidence > 0.6 and tau > 1 and tau <= 30 then 'its own change comes no later than the KPI''s' when not (confidence > 0.6 and tau > 1) then 'it has no sure change of its own' else 'it changed after the KPI did' end as reason
+from best join (select distinct series, region, topic from s) using (series) join sizes using (region, topic) where n_texts >= 3
+""")
 def topic_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When each topic bursts, and whether it may have caused a movement in week 30; held against the batch fold in the tests."""
+    """When each topic bursts, and whether it may have caused a movement in week 30."""
     rows = ticket_rows(spark, sf_dir)
     found = topics.onsets(topics.weekly_counts(rows, ["region", "topic"], 52), ["region", "topic"])
     sizes = rows.groupBy("region", "topic").agg(F.count("*").alias("n_texts"))
-    return topics.candidates(found.join(sizes, ["region", "topic"]), 30)
+    return topics.candidates(found.join(sizes, ["region", "topic"]), 30).withColumn("confidence", F.round("confidence", 6))
 
 
 @register("representative_row", f"""
@@ -119,7 +140,13 @@ def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.reliability(predictions(spark, sf_dir))
 
 
-@register("isotonic")
+@register("isotonic", f"""
+with {PREDICTIONS_SQL}, g as (select predicted as x, sum(outcome) as s, count(*) as n from p group by 1), c as (select x, row_number() over (order by x) as i, sum(s) over (order by x) as s, sum(n) over (order by x) as n from g),
+starts as (select 1 as a, 0 as s, 0 as n union all select i + 1, s, n from c),
+pooled as (select m.i, a, min((b.s - starts.s)::double / (b.n - starts.n)::double) as least from c m join starts on starts.a <= m.i join c b on b.i >= m.i group by m.i, a),
+fitted as (select i, max(least) as y from pooled group by i)
+select round_even(x, 2) as raw, round_even(y, 3) as recalibrated from c join fitted using (i) where round(x * 10, 6) = round(x * 10)
+""")
 def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recalibrated curve; pool-adjacent-violators is beyond SQL, so tests hold it against a plain version."""
     return monitor.isotonic(predictions(spark, sf_dir))
