@@ -161,11 +161,14 @@ def panel_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cluster_candidates")
 def cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics as clusters of the documents' embeddings within a language, their first term by their texts, and whether each may have caused a movement in week 30."""
+    """Topics as clusters of the documents' embeddings within a language, their first term by their texts, and whether each may have caused a movement in week 30.
+
+    The given embeddings are all but orthogonal, so clusters are let be wider than the fixed distance.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     texts = docs.join(vectors, "doc_id")
-    found = topics.cluster_texts(texts, "lang", "doc_id", "embedding").join(texts.select("doc_id", "text"), "doc_id")
+    found = topics.cluster_texts(texts, "lang", "doc_id", "embedding", threshold=0.82).join(texts.select("doc_id", "text"), "doc_id")
     dated = found.withColumn("week", (F.floor(F.col("doc_id") % 364 / 7) + 1).cast("int"))
     sizes = dated.groupBy("lang", "cluster").agg(F.count("*").alias("n_texts"))
     onsets = topics.onsets(topics.weekly_counts(dated, ["lang", "cluster"], 52), ["lang", "cluster"])
