@@ -25,10 +25,11 @@ YOUNG = [("ASIA", "PROMO", 351)]
 
 def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every series of the given tables: three weekly KPIs and the reps' monthly revenue of each region, and a new category with its siblings."""
-    sales = binding.sales(spark, sf_dir)
+    sales = binding.sales_cube(binding.sales(spark, sf_dir), ["region", "product_category", "week", "month"])
     spend = binding.marketing(spark, sf_dir).withColumnRenamed("day", "week")
-    panel = reconcile.weekly_panel(sales, spend, binding.rep_months(sales), binding.FIRST_MONDAY).where(F.col("week") < binding.WEEKS)
-    return investigations.kpi_series(panel, binding.rep_months(sales), reconcile.category_weeks(sales).where(F.col("week") < binding.WEEKS), WEEKLY, YOUNG)
+    reps = binding.rep_totals(sales)
+    panel = reconcile.weekly_panel(sales, spend, reps, binding.FIRST_MONDAY).where(F.col("week") < binding.WEEKS)
+    return investigations.kpi_series(panel, reps, reconcile.category_weeks(sales).where(F.col("week") < binding.WEEKS), WEEKLY, YOUNG)
 
 
 @register("kpi_series", f"""
