@@ -1,9 +1,13 @@
 """What keeps the queries' cost in proportion to their input: facts read once, sweeps in place of pairs, blocks that needn't be repeated."""
 
+import random
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from veridelta.operators import joins
 from veridelta.plans import flows, movements, reconciliation, registry  # noqa: F401  each registers its queries
 
 SF = "/root/testdata/sf0.001"
@@ -14,6 +18,52 @@ def plan_of(df):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["panel_weekly", "panel_ordered", "kpi_series"])
+@pytest.mark.parametrize("name", ["panel_weekly", "panel_ordered", "kpi_series", "claim_bounds"])
 def test_the_panel_reads_a_cube_of_the_facts(spark, name):
     assert "l_orderkey" not in plan_of(registry.QUERIES[name](spark, SF))
+
+
+def plain_totals(points, windows):
+    out = {}
+    for g, t, v in points:
+        for w, a, b in windows:
+            if None not in (t, a, b) and a <= t <= b:
+                x = out.setdefault(g, [0, set(), None])
+                x[0], x[1] = x[0] + 1, x[1] | ({w} - {None})
+                x[2] = x[2] if v is None else (x[2] or 0) + v
+    return {g: (n, len(w), v) for g, (n, w, v) in out.items()}
+
+
+def test_totals_of_intervals_against_a_loop(spark):
+    rng = random.Random(4)
+    points = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-40, 300, 5)]), rng.choice([None, Decimal(rng.randint(-9, 99))])) for _ in range(200)] + [("far", 2**50, Decimal(1)), ("early", -(2**50), Decimal(1))]
+    windows = [(rng.choice([None, *range(30)]), a, a + rng.choice([0, 0, 3, 40, -2])) for a in (rng.randint(-60, 320) for _ in range(80))] + [(90, -(2**62), 2**62), (91, None, 5), (92, 5, None), (93, 295, 2**63 - 1)]
+    p, w = spark.createDataFrame(points + points[:9], "g string, t long, v decimal(18,4)"), spark.createDataFrame(windows + windows[:5], "id int, a long, b long")
+    got = joins.interval_totals(p, w, "t", "a", "b", "id", "g", "v")
+    assert {r["g"]: (r["hits"], r["windows"], r["total"]) for r in got.collect()} == plain_totals(points + points[:9], windows + windows[:5])
+    assert joins.interval_totals(p.limit(0), w, "t", "a", "b", "id", "g", "v").count() == joins.interval_totals(p, w.limit(0), "t", "a", "b", "id", "g", "v").count() == 0
+
+
+def test_totals_of_a_crowd_make_no_pairs(spark):
+    """200,000 points inside each of 200,000 windows: 4e10 pairs, which a join can't make."""
+    p = spark.range(200_000).select(F.lit("x").alias("g"), F.col("id").alias("t"), F.lit(1).cast("decimal(18,4)").alias("v"))
+    w = spark.range(200_000).select("id", F.lit(0).cast("long").alias("a"), F.lit(10**6).alias("b").cast("long"))
+    assert [tuple(r) for r in joins.interval_totals(p, w, "t", "a", "b", "id", "g", "v").collect()] == [("x", 4 * 10**10, 200_000, Decimal(4 * 10**10))]
+
+
+@pytest.mark.parametrize("bound", [0, 25, 10**6])
+def test_asof_of_small_and_hot_keys(spark, monkeypatch, bound):
+    """Keys that are sorted in one task and keys by buckets give the same; small ones need one shuffle of facts."""
+    monkeypatch.setattr(joins, "KEY_ROWS", bound)
+    rng = random.Random(8)
+    facts = [(rng.choice(["hot"] * 9 + ["b", "none", None]), rng.choice([None, *range(90)]), i) for i in range(200)]
+    states = [(rng.choice(["hot", "b", None]), rng.choice([None, *range(0, 90, 7)]), i) for i in range(40)]
+    f, s = spark.createDataFrame(facts, "k string, t long, id int"), spark.createDataFrame(states, "k string, since long, v int")
+    expected = []
+    for k, t, i in facts:
+        best = max(((x, v) for g, x, v in states if g is not None and g == k and None not in (x, t) and x <= t), default=(None, None))
+        expected.append((k, t, i, *(best if best[0] is not None and t - best[0] <= 10 else (None, None))))
+    got = joins.asof_join(f, s, "t", "since", ["k"], tolerance=10)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+    if bound > 1000:
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

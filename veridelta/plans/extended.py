@@ -74,8 +74,8 @@ select event_type, count(*) as hits, count(distinct incident) as incidents, cast
 def incident_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of all users inside error incidents that last as many minutes as their value."""
     points, windows = _incidents(spark, sf_dir, 60)
-    hits = joins.interval_join(points, windows.drop("user_id"), "at", "begun", "over")
-    return hits.groupBy("event_type").agg(F.count("*").alias("hits"), F.countDistinct("incident").alias("incidents"), F.sum("value").cast("double").alias("value"))
+    found = joins.interval_totals(points, windows, "at", "begun", "over", "incident", "event_type", "value")
+    return found.select("event_type", "hits", F.col("windows").alias("incidents"), F.col("total").cast("double").alias("value"))
 
 
 @register("user_incidents", f"""with {INCIDENTS_SQL}
