@@ -22,7 +22,7 @@ URGENCIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 def weekly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kpi, region, period_unit, period, value): weekly revenue and units, the last, partial week left out, and monthly revenue as reps' revenue."""
-    sales = binding.sales(spark, sf_dir)
+    sales = binding.sales_cube(binding.sales(spark, sf_dir), ["region", "week", "month"])
     weeks = reconcile.region_weeks(sales).where(F.col("week") < binding.WEEKS)
     tall = weeks.selectExpr("region", "week as period", "stack(2, 'revenue', cast(revenue as double), 'units_sold', cast(units as double)) as (kpi, value)").withColumn("period_unit", F.lit("week"))
     months = sales.groupBy("region", "month").agg(F.sum("gross_revenue").cast("double").alias("value"))
