@@ -18,7 +18,7 @@ def plan_of(df):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["panel_weekly", "panel_ordered", "kpi_series", "claim_bounds", "gate_all"])
+@pytest.mark.parametrize("name", ["panel_weekly", "panel_ordered", "kpi_series", "claim_bounds", "gate_all", "sketched_quarters"])
 def test_the_panel_reads_a_cube_of_the_facts(spark, name):
     assert "l_orderkey" not in plan_of(registry.QUERIES[name](spark, SF))
 

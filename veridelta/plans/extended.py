@@ -165,7 +165,7 @@ select region, quarter, n, total, reps, true as reps_within, true as median_with
 """)
 def sketched_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reps and revenue quantiles of each quarter from weekly sketches, and whether they are as near to the exact ones as the sketches promise."""
-    sales = binding.sales(spark, sf_dir)
+    sales = materialize(binding.sales(spark, sf_dir).select("region", "week", "rep_id", "gross_revenue"), "quarter-sales")  # read for the sketches and for what they are held against
     weekly = materialize(sketches.sketched(sales, ["region", "week"], "rep_id", "gross_revenue"), "weekly-sketches")
     quarter = F.floor((F.col("week") - 1) / 13.0).cast("int").alias("quarter")
     found = sketches.merged(weekly.select("*", quarter), ["region", "quarter"])
