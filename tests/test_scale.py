@@ -136,3 +136,31 @@ def test_terms_move_by_block(spark):
     assert [(r["block"], r["terms"].split("\n"), set(np.frombuffer(r["df"], np.int64))) for r in sent.orderBy("block").collect()] == [(b, ["rain", "snow", "snow the", "the", "the rain", "the snow"], {50}) for b in (0, 1)]
     over = topics._over_blocks(sent).collect()
     assert [set(np.frombuffer(r["df"], np.int64)) for r in over] == [{100}, {100}]
+
+
+@pytest.mark.parametrize("n, size, threshold", [(1, 3, 0.5), (2, 2, 0.9), (60, 2, 0.3), (300, 4, 2.0), (400, 8, 0.5)])
+def test_merging_in_rounds_without_the_square(n, size, threshold):
+    """Rounds over the clusters that are left give the labels of one merge at a time."""
+    rng = np.random.default_rng(n)
+    weight, mean = rng.integers(1, 4, n).astype(float), rng.normal(size=(n, size))
+    sums = mean / np.linalg.norm(mean, axis=1)[:, None] * weight[:, None]
+    assert topics.merge_rounds(sums, weight, threshold).tolist() == topics.agglomerate(sums, weight, threshold).tolist()
+    alike = np.round(sums)  # ties end too
+    assert len(topics.merge_rounds(alike, weight, threshold)) == n
+
+
+def test_only_what_lost_its_nearest_looks_again(spark, monkeypatch):
+    """Every round compared all clusters with all; now those whose nearest was merged, with those that are near to any."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "g", [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id int, g string, v array<double>")
+    nearest, seen = topics._nearest, []
+
+    def counted(clusters, *rest):
+        seen.append((clusters.count(), clusters.where("n is null").count()))
+        return nearest(clusters, *rest)
+
+    whole = sorted(map(tuple, topics.cluster_texts(frame, "g", "id", "v", threshold=0.3).collect()))
+    monkeypatch.setattr(topics, "_nearest", counted)
+    assert sorted(map(tuple, topics.cluster_texts(frame, "g", "id", "v", threshold=0.3, cell=4, block=30).collect())) == whole
+    assert len(seen) > 1 and seen[0] == (60, 60) and all(asks < left for left, asks in seen[1:])

@@ -12,7 +12,7 @@ from veridelta.functions.columns import power_law_between_ends
 from veridelta.operators import challenge, investigations, ledger, localise, monitor, predicate, reconcile, signal, topics
 from veridelta.sources import binding, files
 from veridelta.sources.binding import MARKETING_SQL, SALES_SQL
-from veridelta.sources.tables import table
+from veridelta.sources.tables import materialize, table
 
 from . import adjudication, reconciliation
 from .common import fresh_folder
@@ -170,7 +170,7 @@ def cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     texts = docs.join(vectors, "doc_id")
     found = topics.cluster_texts(texts, "lang", "doc_id", "embedding", threshold=0.82).join(texts.select("doc_id", "text"), "doc_id")
-    dated = found.withColumn("week", (F.floor(F.col("doc_id") % 364 / 7) + 1).cast("int"))
+    dated = materialize(found.withColumn("week", (F.floor(F.col("doc_id") % 364 / 7) + 1).cast("int")), "texts-by-cluster")  # read several times
     sizes = dated.groupBy("lang", "cluster").agg(F.count("*").alias("n_texts"))
     onsets = topics.onsets(topics.weekly_counts(dated, ["lang", "cluster"], 52), ["lang", "cluster"])
     term = topics.cluster_terms(dated, "cluster", "doc_id", "text", 1).select("cluster", "term")
