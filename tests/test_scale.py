@@ -164,3 +164,10 @@ def test_only_what_lost_its_nearest_looks_again(spark, monkeypatch):
     monkeypatch.setattr(topics, "_nearest", counted)
     assert sorted(map(tuple, topics.cluster_texts(frame, "g", "id", "v", threshold=0.3, cell=4, block=30).collect())) == whole
     assert len(seen) > 1 and seen[0] == (60, 60) and all(asks < left for left, asks in seen[1:])
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
+def test_challenges_read_the_cube_once(spark):
+    """What is told of the claims comes from written verdicts; it computed every panel from the cube again, for each test and each reader."""
+    told = registry.QUERIES["challenged_claims"](spark, SF)
+    assert told.count() == 4 and not any("sales-cube" in f for f in told.inputFiles())

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veridelta.contract import CONTRACT, EntitlementDenied
 from veridelta.operators import adjudicate, predicate, proposer
 from veridelta.operators.ledger import Ledger
+from veridelta.sources.tables import materialize
 
 #: How the ids of rivals begin; a log's adversarial rows are found by it.
 PREFIX = "h_adversarial_"
@@ -110,7 +111,9 @@ def challenge(spark: SparkSession, ledger: Ledger, ask, cases: list[Case], conte
     if not cases:
         return None
     found = [find_rival(ledger, ask, c, context, allowed, config, contract, run_id) for c in cases]  # one for each survivor: a handful
-    verdicts = adjudicate.verdicts(joint_panel(spark, found, contract))
+    # a few rows each, read many times: by every test, the ledger and the caller
+    panel = materialize(joint_panel(spark, found, contract).coalesce(8), "joint-panel")
+    verdicts = materialize(adjudicate.verdicts(panel).coalesce(1), "joint-verdicts")
     pairs = spark.createDataFrame([(c.claim.hypothesis_id, c.rival.hypothesis_id if c.rival else None) for c in found], "hypothesis_id string, rival_id string")
     told = standings(verdicts, pairs)
     down = verdicts.join(told.where("standing = 'contested'").select("hypothesis_id"), "hypothesis_id").withColumn("verdict", F.lit("INCONCLUSIVE")).withColumn("reason", F.lit("a rival explanation survives the same test"))
